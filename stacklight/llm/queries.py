@@ -28,6 +28,12 @@ def op2_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_digests(spark, path)
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stacklight.llm import quality_model
+
+    return quality_model.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from stacklight.llm import decontaminate
 
@@ -40,6 +46,18 @@ def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stacklight.llm import lm
+
+    return lm.train_and_score(table(spark, sf_dir, "documents"))
+
+
+def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stacklight.llm import html
+
+    return html.main_texts(table(spark, sf_dir, "pages"))
+
+
 def op8_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from stacklight.llm import rules
 
@@ -57,5 +75,11 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_tokens, op4_decontaminate, op5_jaccard, op8_rules, op9_mixing)}
+def op10_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stacklight.llm import substring
+
+    return substring.without_repeats(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_warc, op2_tokens, op3_quality, op4_decontaminate, op5_jaccard, op6_lm, op7_html, op8_rules, op9_mixing, op10_substring)}
 ORACLE_SQL: dict[str, str] = {}
