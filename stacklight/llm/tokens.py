@@ -29,49 +29,56 @@ from stacklight.session import work_path
 END_ID = 1
 ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 1 << 20
-#: Words whose ids a worker remembers; the memory is emptied when full, which changes no result.
-REMEMBERED = 300_000
+#: Cores whose ids a worker remembers, in each of two generations; forgetting changes no result.
+REMEMBERED = 250_000
+#: ASCII marks other than the apostrophe, which the tokenizer may take with the letters after it.
+MARKS = "".join(chr(c) for c in range(0x21, 0x7F) if not chr(c).isalnum() and chr(c) != "'")
 SCHEMA = "doc_id long, shard int, local_start long, n_tokens int, ids array<int>"
 
 
 class Encoder:
-    """Ids of whole texts as little-endian bytes.
+    """Ids of whole texts.
 
-    The tokenizer normalizes and splits within white space only, so a text's ids are those of its words in turn, and words recur:
-    each is encoded once by the library and then looked up, apart from capitals and a last stop or comma."""
+    The tokenizer normalizes and splits within white space only, so a text's ids are those of its words in turn. Arrow splits a batch into
+    words, finds the distinct ones and cuts them into a core (in small ASCII letters) and the marks at its end, which are one
+    piece for the tokenizer. Distinct cores are few: their ids are remembered, and only new ones go to the library."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, bytes] = {}
+        self.known: dict[bytes, bytes] = {b"": b""}
+        self.older: dict[bytes, bytes] = {}
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        lists = [t.split() for t in texts]  # at the bytes \x20 and \x09-\x0D
-        new = set().union(*lists).difference(self.known)
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
-            new = set().union(*lists)
-        if new:
-            self._learn(new)
-        ids = self.known.__getitem__
-        return [b"".join(map(ids, words)) for words in lists]
-
-    def _learn(self, new: set[bytes]) -> None:
-        """Ids of new words. ASCII capitals are the normalizer's small letters; a full stop or comma after a small ASCII letter is a piece of its own."""
-        known, split = self.known, []
-        for w in new:
-            core = w if b"<|" in w else w.lower()
-            if len(core) > 1 and core[-1] in b".," and 97 <= core[-2] <= 122 and b"<|" not in core:
-                split.append((w, core[:-1], core[-1:]))
-            elif core is not w and core != w:
-                split.append((w, core, b""))
-        whole = new.difference([w for w, _, _ in split])
-        whole.update(c for _, c, _ in split)
-        whole.update((b".", b","))
-        known.update(self._library(sorted(whole.difference(known))))
-        known.update([(w, known[c] + known[e] if e else known[c]) for w, c, e in split])
+        """Each text's ids as little-endian bytes."""
+        ids, ends = self.encode_column(pa.array(texts, pa.large_binary()))
+        return [x.astype("<u4").tobytes() for x in np.split(ids, ends)[: len(texts)]]
+
+    def encode_column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids one after another, and where each text's end. No text may be null."""
+        lists = pc.ascii_split_whitespace(texts.cast(pa.large_binary()).view(pa.large_string()))  # at \x20 and \x09-\x0D
+        words = lists.flatten().dictionary_encode()
+        cores, marks = (x.dictionary_encode() for x in _cut(words.dictionary))
+        ids = self._ids([*cores.dictionary.cast(pa.large_binary()).to_pylist(), *marks.dictionary.cast(pa.large_binary()).to_pylist()])
+        at = np.empty(2 * len(cores), np.int64)
+        at[::2] = cores.indices
+        at[1::2] = np.asarray(marks.indices) + len(cores.dictionary)
+        two = _lists(ids).take(pa.array(at))
+        of_word = pa.LargeListArray.from_arrays(np.asarray(two.offsets)[::2], two.values).take(words.indices)
+        bounds = np.cumsum(np.asarray(pc.list_value_length(lists)))
+        return np.asarray(of_word.values), np.asarray(of_word.offsets)[bounds]
+
+    def _ids(self, keys: list[bytes]) -> list[bytes]:
+        """Ids of cores and marks. A full memory is kept for one more generation."""
+        if len(self.known) > REMEMBERED:
+            self.older, self.known = self.known, {b"": b""}
+        missing = set(keys).difference(self.known)
+        again = missing.intersection(self.older)
+        self.known.update([(c, self.older[c]) for c in again])
+        self.known.update(self._library(sorted(missing.difference(again))))
+        return [*map(self.known.__getitem__, keys)]
 
     def _library(self, words: list[bytes]) -> dict[bytes, bytes]:
         """Ids by the library: words go in one call, and ids go back to words by the characters they come from."""
@@ -87,6 +94,36 @@ class Encoder:
         return out
 
 
+def _lists(ids: list[bytes]) -> pa.LargeListArray:
+    ends = np.cumsum([0, *map(len, ids)]) // 4
+    return pa.LargeListArray.from_arrays(ends, pa.array(np.frombuffer(b"".join(ids), "<i4")))
+
+
+def _parts(words: pa.LargeStringArray) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets and bytes."""
+    _, offsets, data = words.buffers()
+    return np.frombuffer(offsets, np.int64, len(words) + 1, words.offset * 8), np.frombuffer(data or b"", np.uint8)
+
+
+def _cut(words: pa.LargeStringArray) -> tuple[pa.Array, pa.Array]:
+    """Cores, and the marks after them. Only marks after a small letter are cut off; words that may hold a special token stay as they are."""
+    low = pc.ascii_lower(words)
+    core = pc.ascii_rtrim(low, characters=MARKS)
+    special = np.asarray(pc.match_substring(words, "<|"))
+    (at, data), (core_at, core_data) = _parts(low), _parts(core)
+    n = np.diff(core_at)
+    core_data = np.concatenate([np.zeros(2, np.uint8), core_data])  # so that every word has two bytes before its end
+    last, second = core_data[core_at[1:] + 1], core_data[core_at[1:]]
+    letter = ((last >= 97) & (last <= 122)) | ((n > 1) & (second == 0xC3) & (last >= 0xA0) & (last != 0xB7))
+    cut = (n > 0) & letter & ~special
+    k = np.where(cut, np.diff(at) - n, 0)
+    ends = np.concatenate([[0], np.cumsum(k)])
+    taken = data[np.arange(ends[-1]) + np.repeat(at[:-1] + n - ends[:-1], k)]
+    marks = pa.LargeStringArray.from_buffers(len(words), pa.py_buffer(ends), pa.py_buffer(taken))
+    whole = pc.if_else(pa.array(special), words, low) if special.any() else low
+    return pc.if_else(pa.array(cut), core, whole), marks
+
+
 @lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
     """One for each worker: reading the vocabulary takes longer than encoding a few thousand texts."""
@@ -94,17 +131,14 @@ def encoder(path: str) -> Encoder:
 
 
 def _encoded(path: str, end_id: int):
-    end = np.asarray([end_id], "<u4").tobytes()
-
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, start, shard = encoder(path), 0, TaskContext.get().partitionId()
-        for b in batches(it, "text", 4 << 20):
-            texts = b.column("text").cast(pa.large_binary()).to_pylist()
-            ids = [x + end for x in known.encode([t or b"" for t in texts])]
-            n = np.asarray([len(x) // 4 for x in ids], np.int64)
+        for b in batches(it, "text"):
+            ids, ends = known.encode_column(b.column("text").fill_null(""))
+            flat = pa.array(np.insert(ids, ends, end_id))
+            n = np.diff(ends, prepend=0) + 1
             before = start + np.cumsum(n) - n
             start += int(n.sum())
-            flat = pa.array(np.frombuffer(b"".join(ids), "<i4"))
             offsets = pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32))
             columns = [b.column("doc_id"), pa.array(np.full(len(n), shard, np.int32)), pa.array(before), pa.array(n.astype(np.int32)), pa.ListArray.from_arrays(offsets, flat)]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "shard", "local_start", "n_tokens", "ids"])

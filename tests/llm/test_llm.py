@@ -118,6 +118,9 @@ def test_tokens(spark, docs, empty):
     e = tokens.Encoder(queries.tokenizer_path())
     for s in ("É. don't. DON'T, a.b. <|endoftext|>. <|ENDOFTEXT|> 12. ... .,", "́a b́. \x1ce.\x85f", "ΑΣ. σς, \U0001f600. 中文."):
         assert np.frombuffer(e.encode([s.encode()])[0], "<u4").tolist() == t.encode(s, add_special_tokens=False).ids
+    hard = ["It's...", "é.", "é\u0301!", "a÷.", "x.'", "a<|endoftext|>.", "A<|ENDOFTEXT|>!", "ÀÉ...", "a\x01.", "a\x1c.", "1.", "ﬁ.", "ÿ?", "'s.", "İx.", "a….", "##a##", "", " \t", "a,b.!"]
+    ids, ends = e.encode_column(pa.array(["x", *hard])[1:])
+    assert [x.tolist() for x in np.split(ids, ends)[:-1]] == [t.encode(s, add_special_tokens=False).ids for s in hard]
 
 
 def shingle_set(t):
