@@ -29,8 +29,10 @@ from stacklight.session import work_path
 END_ID = 1
 ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 1 << 20
+#: Bytes of text that are split at a time.
+SLICE_BYTES = 6 << 20
 #: Cores whose ids a worker remembers, in each of two generations; forgetting changes no result.
-REMEMBERED = 250_000
+REMEMBERED = 200_000
 #: ASCII marks other than the apostrophe, which the tokenizer may take with the letters after it.
 MARKS = "".join(chr(c) for c in range(0x21, 0x7F) if not chr(c).isalnum() and chr(c) != "'")
 SCHEMA = "doc_id long, shard int, local_start long, n_tokens int, ids array<int>"
@@ -133,7 +135,7 @@ def encoder(path: str) -> Encoder:
 def _encoded(path: str, end_id: int):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, start, shard = encoder(path), 0, TaskContext.get().partitionId()
-        for b in batches(it, "text"):
+        for b in batches(it, "text", SLICE_BYTES):
             ids, ends = known.encode_column(b.column("text").fill_null(""))
             flat = pa.array(np.insert(ids, ends, end_id))
             n = np.diff(ends, prepend=0) + 1
@@ -142,6 +144,8 @@ def _encoded(path: str, end_id: int):
             offsets = pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32))
             columns = [b.column("doc_id"), pa.array(np.full(len(n), shard, np.int32)), pa.array(before), pa.array(n.astype(np.int32)), pa.ListArray.from_arrays(offsets, flat)]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "shard", "local_start", "n_tokens", "ids"])
+            del ids, ends, flat, columns
+            pa.default_memory_pool().release_unused()  # what a batch took isn't left to pile up beside the JVM
 
     return run
 
