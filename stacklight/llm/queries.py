@@ -82,4 +82,48 @@ def op10_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_warc, op2_tokens, op3_quality, op4_decontaminate, op5_jaccard, op6_lm, op7_html, op8_rules, op9_mixing, op10_substring)}
-ORACLE_SQL: dict[str, str] = {}
+_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+_BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+#: Five hex digits are four base32 digits.
+_DIGITS = " || ".join(f"'{_BASE32}'[((('0x' || substr(x, {5 * k + 1}, 5))::BIGINT >> {b}) & 31) + 1]" for k in range(8) for b in (15, 10, 5, 0))
+
+OP1_SQL = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+d AS (SELECT page_id, strlen(h) AS payload_bytes, sha1(h) AS x, max(page_id) OVER (PARTITION BY h) AS last FROM p),
+r AS (SELECT *, last IS NOT NULL AND page_id IS DISTINCT FROM last AS again FROM d)
+SELECT page_id, payload_bytes::BIGINT AS payload_bytes, {_DIGITS} AS payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN again THEN last END AS refers_to
+FROM r
+"""
+
+OP8_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS t, {_WORDS} AS w FROM documents),
+triples AS (SELECT row, unnest(range(1, len(w) - 1)) AS p, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS g FROM d),
+found AS (SELECT row, p FROM triples QUALIFY count(*) OVER (PARTITION BY row, g) > 1),
+steps AS (SELECT row, least(3, p - lag(p, 1, -9) OVER (PARTITION BY row ORDER BY p)) AS n FROM found),
+repeated AS (SELECT row, sum(n)::BIGINT AS n FROM steps GROUP BY row),
+lines AS (SELECT row, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS l FROM d),
+m AS (
+  SELECT doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+         (length(t) - length(replace(t, '!', '')))::BIGINT AS n_marks, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words
+  FROM d JOIN lines USING (row) LEFT JOIN repeated USING (row)
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words OR word_chars < 2 * n_words OR word_chars > 15 * n_words OR 10 * n_symbols > n_words
+            OR 5 * n_marks > n_words OR (n_dup_lines >= 3 AND 20 * n_dup_lines > n_words)) AS kept
+FROM m
+"""
+
+OP10_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, {_WORDS} AS w FROM documents),
+spans AS (SELECT row, doc_id, unnest(range(1, len(w) - 48)) AS p, unnest(list_transform(range(1, len(w) - 48), lambda i: sha256(array_to_string(w[i : i + 49], ' ')))) AS g FROM d),
+again AS (SELECT row, p FROM spans QUALIFY min(doc_id) OVER (PARTITION BY g) < doc_id),
+each AS (SELECT row, unnest(range(1, len(w) + 1)) AS p, unnest(w) AS word FROM d),
+marked AS (SELECT e.row, e.p, e.word, max(a.p) OVER (PARTITION BY e.row ORDER BY e.p) AS last FROM each e LEFT JOIN again a ON a.row = e.row AND a.p = e.p),
+kept AS (SELECT row, count(*) FILTER (last >= p - 49) AS n_removed, string_agg(word, ' ' ORDER BY p) FILTER (last IS NULL OR last < p - 49) AS k FROM marked GROUP BY row)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(k, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (row)
+"""
+
+#: The other operators pick by hashes of their own, learn, align or tokenize; tests/llm holds them against brute force or held-out accuracy.
+ORACLE_SQL: dict[str, str] = {"op1_warc": OP1_SQL, "op8_rules": OP8_SQL, "op10_substring": OP10_SQL}

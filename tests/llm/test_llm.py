@@ -10,6 +10,7 @@ import random
 import re
 import zlib
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -376,3 +377,14 @@ def test_pipeline(spark, sf_dir):
     final = seen[-1][2].orderBy("start").collect()
     assert sorted(x.doc_id for x in final) == sorted(x.doc_id for x in seen[3][2].collect())
     assert sorted(map(str, corpus_pipeline.run(spark, sf_dir).collect())) == sorted(map(str, final))
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_sql_twin(spark, sf_dir, name):
+    con = duckdb.connect()
+    for t in ("documents", "pages"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
+    want = con.sql(queries.ORACLE_SQL[name])
+    got = queries.QUERIES[name](spark, sf_dir)
+    assert sorted(got.columns) == sorted(want.columns)
+    assert collections.Counter(map(tuple, got.select(*want.columns).collect())) == collections.Counter(want.fetchall())
