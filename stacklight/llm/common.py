@@ -5,6 +5,7 @@ Hashes have 64 bits and depend on the bytes alone, so every worker gets the same
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -22,6 +23,7 @@ _byte = _rng.integers(1, 1 << 63, 256, dtype=U) | U(1)
 _BASE = 0x9E3779B97F4A7C15 ^ 0x2545F4914F6CDD1C | 5
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _powers: dict[str, np.ndarray] = {}
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -171,10 +173,20 @@ def slices(batch: pa.RecordBatch | pa.Table, column: str, most: int = 8 << 20) -
         i = j
 
 
+def give_back() -> None:
+    """Hands memory that is free in this process back to the system. Workers serve one stage after another, and what each leaves behind piles up beside the JVM."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
 def batches(it: Iterable[pa.RecordBatch], column: str, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """Slices of all batches; free memory is given back after each."""
     for b in it:
         if b.num_rows:
-            yield from slices(b, column, most)
+            for part in slices(b, column, most):
+                yield part
+                give_back()
 
 
 def local_path(path: str) -> str:

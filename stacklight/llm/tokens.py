@@ -144,8 +144,7 @@ def _encoded(path: str, end_id: int):
             offsets = pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32))
             columns = [b.column("doc_id"), pa.array(np.full(len(n), shard, np.int32)), pa.array(before), pa.array(n.astype(np.int32)), pa.ListArray.from_arrays(offsets, flat)]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "shard", "local_start", "n_tokens", "ids"])
-            del ids, ends, flat, columns
-            pa.default_memory_pool().release_unused()  # what a batch took isn't left to pile up beside the JVM
+            del ids, ends, flat, columns  # given back with the next slice
 
     return run
 
