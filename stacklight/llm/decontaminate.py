@@ -2,10 +2,12 @@
 
 1. The benchmark is taken in blocks of a bounded number of seeds; a block's seed hashes travel with the job. A block after another
    passes over all documents, so a benchmark of any size needs bounded memory.
-2. A pass counts in how many documents each seed occurs. Seeds are rare if they aren't far above the middle seed of their own item:
-   commonness is relative, so a passage that half the corpus has copied keeps its seeds.
-3. A pass joins documents to items through rare seeds, gathers hits into regions along the alignment diagonal, and aligns each item
-   with its regions (match 1, mismatch -1, gap -1). A score of at least THRESHOLD times the item's words is a leak.
+2. A pass counts in how many documents each seed occurs. Seeds are rare if they aren't far above the middle one of the seeds of their
+   own item that occur: commonness is relative.
+3. A pass joins documents to items through seeds, gathers hits into regions along the alignment diagonal, and aligns each item
+   with its regions (match 1, mismatch -1, gap -1). A score of at least THRESHOLD times the item's words is a leak. Regions with a rare
+   seed are aligned at once. Regions that only common seeds hit are aligned if enough of their words are the item's to reach the
+   threshold, so no count of a seed leaves a leak out.
 
 Null and empty texts and items match nothing; an item of fewer words than a seed is its own seed. Repeated rows are reported each. Equal scores keep the first region. Very long
 texts are read whole. Columns other than key and text aren't read."""
@@ -26,6 +28,8 @@ SEED_WORDS = 3
 THRESHOLD = 0.5
 #: A seed in more documents than this many times those of the item's middle seed (and than so many) isn't rare.
 COMMON_TIMES, COMMON_LEAST = 20, 100
+#: Pairs of a hit and an item that are laid out at once (those of one document always are).
+HITS = 1_000_000
 #: Benchmark words in a block; what a job carries is bounded by some 40 bytes a word.
 BLOCK_WORDS = 500_000
 
@@ -44,10 +48,12 @@ class Index:
         self.hash, self.item, self.place = (np.concatenate([p[j] for p in parts]) if parts else np.zeros(0) for j in range(3))
         order = np.argsort(self.hash, kind="stable")
         self.hash, self.item, self.place = self.hash[order], self.item[order], self.place[order]
+        self.rare = np.ones(len(self.hash), bool)
+        self.lengths = np.asarray([len(w) for w in self.words], np.int64)
         self.widths = sorted({min(k, len(w)) for w in self.words if len(w)})
 
     def keep(self, mask: np.ndarray) -> None:
-        self.hash, self.item, self.place = self.hash[mask], self.item[mask], self.place[mask]
+        self.hash, self.item, self.place, self.rare = self.hash[mask], self.item[mask], self.place[mask], self.rare[mask]
 
     def hits(self, t: Texts) -> tuple[np.ndarray, np.ndarray]:
         """(positions of words in the batch, seed hashes there) of all windows that are seeds."""
@@ -106,6 +112,68 @@ def _seed_counts(index: Index):
     return run
 
 
+def _portions(index: Index, t: Texts, at: np.ndarray, what: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(first entry in the index, number of entries, position) of the hits of whole documents, some HITS entries at a time."""
+    order = np.argsort(at, kind="stable")
+    at, what = at[order], what[order]
+    lo = np.searchsorted(index.hash, what, "left")
+    reps = np.searchsorted(index.hash, what, "right") - lo
+    doc = np.searchsorted(t.bounds, at, "right") - 1
+    ends = np.append(np.flatnonzero(doc[1:] != doc[:-1]) + 1, len(doc))
+    total = np.cumsum(reps)
+    i = 0
+    while i < len(at):
+        fit = np.searchsorted(total, (total[i - 1] if i else 0) + HITS, "right")
+        k = np.searchsorted(ends, fit, "right") - 1
+        j = int(ends[k]) if k >= 0 and ends[k] > i else int(ends[np.searchsorted(ends, i, "right")])
+        yield lo[i:j], reps[i:j], at[i:j]
+        i = j
+
+
+def _align(index: Index, t: Texts, lo: np.ndarray, reps: np.ndarray, at: np.ndarray, threshold: float, found: dict[tuple[int, int], tuple[int, int, int]]) -> None:
+    """Puts the best (score, end, words of the item) of each (document, item) that reaches the threshold into found."""
+    # each hit stands for one or more (item, place)
+    entry = np.repeat(lo, reps) + np.arange(reps.sum()) - np.repeat(np.cumsum(reps) - reps, reps)
+    pos = np.repeat(at, reps)
+    item, start, rare = index.item[entry], pos - index.place[entry], index.rare[entry]
+    doc = np.searchsorted(t.bounds, pos, "right") - 1
+    order = np.lexsort((start, item, doc))
+    item, start, doc, rare = item[order], start[order], doc[order], rare[order]
+    slack = (index.lengths // 2 + 2)[item]
+    new = np.ones(len(item), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (start[1:] - start[:-1] > slack[1:])
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(item)) - 1
+    rdoc, ritem, length, sure = doc[first], item[first], index.lengths[item[first]], np.logical_or.reduceat(rare, first)
+    begin = np.maximum(start[first] - slack[first], t.bounds[rdoc])
+    end = np.minimum(start[last] + length + slack[first], t.bounds[rdoc + 1])
+    for i in np.unique(ritem):
+        mine = np.flatnonzero(ritem == i)
+        mine = mine[np.argsort((end - begin)[mine], kind="stable")]
+        words, k = index.words[i], 0
+        while k < len(mine):
+            # regions of like width share a matrix of a bounded size
+            m = k + 1
+            while m < len(mine) and (m + 1 - k) * (end - begin)[mine[m]] <= 400_000:
+                m += 1
+            part = mine[k:m]
+            k = m
+            width = int((end - begin)[part].max())
+            cols = begin[part][:, None] + np.arange(width)[None, :]
+            regions = t.hashes[np.minimum(cols, len(t.hashes) - 1)]
+            # no alignment scores more than the region has words of the item
+            most = (np.isin(regions, words) & (cols < end[part][:, None])).sum(axis=1)
+            able = sure[part] | (most >= threshold * len(words))
+            if not able.any():
+                continue
+            part, regions = part[able], regions[able]
+            score, where = local_score(words, regions, (end - begin)[part])
+            for r in np.flatnonzero(score >= threshold * len(words)):
+                key, stop = (int(rdoc[part[r]]), int(i)), int(begin[part[r]] + where[r] + 1 - t.bounds[rdoc[part[r]]])
+                if key not in found or (-int(score[r]), stop) < (-found[key][0], found[key][1]):
+                    found[key] = (int(score[r]), stop, len(words))
+
+
 def _aligned(index: Index, threshold: float):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches(it, "text"):
@@ -113,43 +181,9 @@ def _aligned(index: Index, threshold: float):
             at, what = index.hits(t)
             if not len(at):
                 continue
-            # each hit stands for one or more (item, place)
-            lo, hi = np.searchsorted(index.hash, what, "left"), np.searchsorted(index.hash, what, "right")
-            reps = hi - lo
-            entry = np.repeat(lo, reps) + np.arange(reps.sum()) - np.repeat(np.cumsum(reps) - reps, reps)
-            pos = np.repeat(at, reps)
-            item, start = index.item[entry], pos - index.place[entry]
-            doc = np.searchsorted(t.bounds, pos, "right") - 1
-            order = np.lexsort((start, item, doc))
-            item, start, doc = item[order], start[order], doc[order]
-            slack = np.asarray([len(w) // 2 + 2 for w in index.words])[item]
-            new = np.ones(len(item), bool)
-            new[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (start[1:] - start[:-1] > slack[1:])
-            first = np.flatnonzero(new)
-            last = np.append(first[1:], len(item)) - 1
-            rdoc, ritem, length = doc[first], item[first], np.asarray([len(w) for w in index.words])[item[first]]
-            begin = np.maximum(start[first] - slack[first], t.bounds[rdoc])
-            end = np.minimum(start[last] + length + slack[first], t.bounds[rdoc + 1])
             found: dict[tuple[int, int], tuple[int, int, int]] = {}
-            for i in np.unique(ritem):
-                mine = np.flatnonzero(ritem == i)
-                mine = mine[np.argsort((end - begin)[mine], kind="stable")]
-                words, k = index.words[i], 0
-                while k < len(mine):
-                    # regions of like width share a matrix of a bounded size
-                    m = k + 1
-                    while m < len(mine) and (m + 1 - k) * (end - begin)[mine[m]] <= 400_000:
-                        m += 1
-                    part = mine[k:m]
-                    width = int((end - begin)[part].max())
-                    cols = begin[part][:, None] + np.arange(width)[None, :]
-                    regions = t.hashes[np.minimum(cols, len(t.hashes) - 1)]
-                    score, where = local_score(words, regions, (end - begin)[part])
-                    for r in np.flatnonzero(score >= threshold * len(words)):
-                        key, stop = (int(rdoc[part[r]]), int(i)), int(begin[part[r]] + where[r] + 1 - t.bounds[rdoc[part[r]]])
-                        if key not in found or (-int(score[r]), stop) < (-found[key][0], found[key][1]):
-                            found[key] = (int(score[r]), stop, len(words))
-                    k = m
+            for lo, reps, part in _portions(index, t, at, what):
+                _align(index, t, lo, reps, part, threshold, found)
             if found:
                 keys = sorted(found)
                 ids = b.column("doc_id").take(pa.array([d for d, _ in keys]))
@@ -186,11 +220,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str
         seeds, n = np.asarray(counted.column("seed")).view(np.uint64)[order], np.asarray(counted.column("n"))[order]
         place = np.minimum(np.searchsorted(seeds, index.hash), max(0, len(seeds) - 1))
         df = np.where(seeds[place] == index.hash, n[place], 0) if len(seeds) else np.zeros(len(index.hash), np.int64)
-        middle = np.zeros(len(ids))
+        index.keep(df > 0)
+        df, middle = df[df > 0], np.zeros(len(ids))
+        order = np.argsort(index.item, kind="stable")
+        edges = np.searchsorted(index.item[order], np.arange(len(ids) + 1))
         for i in range(len(ids)):
-            own = df[index.item == i]
-            middle[i] = np.median(own) if len(own) else 0
-        index.keep((df > 0) & ((df <= COMMON_LEAST) | (df <= COMMON_TIMES * np.maximum(1, middle[index.item]))))
+            if edges[i] < edges[i + 1]:
+                middle[i] = np.median(df[order[edges[i] : edges[i + 1]]])
+        index.rare = (df <= COMMON_LEAST) | (df <= COMMON_TIMES * middle[index.item])
         part = d.mapInArrow(_aligned(index, threshold), "doc_id long, item_id long, matched long, score double, end_word long")
         out = part if out is None else out.unionByName(part)
     return out if out is not None else docs.sparkSession.createDataFrame([], "doc_id long, item_id long, matched long, score double, end_word long")

@@ -208,6 +208,27 @@ def test_decontamination(spark, docs, empty):
     assert decontaminate.leaks(docs, bench.limit(0)).count() == 0
 
 
+def test_decontamination_of_common_copies(spark, monkeypatch):
+    """Edited copies keep under half of their seeds and stand in many documents, beside unlike documents with one common seed: each copy is found, in portions also."""
+    r = random.Random(3)
+    items = [[f"b{i}_{j}" for j in range(n)] for i, n in enumerate((40, 15))]
+    edited = [["other" if j in at else w for j, w in enumerate(x)] for x, at in zip(items, (range(3, 36, 4), (3, 7, 11)), strict=True)]
+    edited[0][35] = items[0][35]
+    fill = lambda n: [f"f{r.randrange(500)}" for _ in range(n)]
+    texts = [fill(20) + edited[i % 2] + fill(r.randrange(30)) for i in range(300)] + [fill(30) + items[0][:3] + fill(60) for _ in range(150)]
+    d = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    score = {0: 40 - 2 * 8, 1: 15 - 2 * 3}
+    want = {(i, i % 2, score[i % 2]) for i in range(300)}
+    assert {(x.doc_id, x.item_id, x.matched) for x in decontaminate.leaks(d, bench).collect()} == want
+    monkeypatch.setattr(decontaminate, "HITS", 10)
+    index = decontaminate.Index([" ".join(w) for w in items], [0, 1], 3)
+    index.rare[:] = False
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(len(texts))), "text": [" ".join(w) for w in texts]})
+    made = [x for b in decontaminate._aligned(index, 0.5)(iter([batch])) for x in b.to_pylist()]
+    assert {(x["doc_id"], x["item_id"], x["matched"]) for x in made} == want
+
+
 def test_language_model(spark, docs, monkeypatch):
     monkeypatch.setattr(lm, "TOKENS_A_PART", 2000)
     monkeypatch.setattr(lm, "WORDS_A_PART", 50)
