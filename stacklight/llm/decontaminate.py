@@ -9,11 +9,16 @@
    seed are aligned at once. Regions that only common seeds hit are aligned if enough of their words are the item's to reach the
    threshold, so no count of a seed leaves a leak out.
 
+Words are compared case-folded and without punctuation and symbols at their ends; a word of nothing else is compared whole. All words count in positions.
+
 Null and empty texts and items match nothing; an item of fewer words than a seed is its own seed. Repeated rows are reported each. Equal scores keep the first region. Very long
 texts are read whole. Columns other than key and text aren't read."""
 
 from __future__ import annotations
 
+import functools
+import sys
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stacklight.llm.common import Texts, batches, gram_hashes, valid_starts
+from stacklight.llm.common import Texts, batches, gram_hashes, span_hashes, valid_starts
 from stacklight.session import written
 
 SEED_WORDS = 3
@@ -34,11 +39,58 @@ HITS = 1_000_000
 BLOCK_WORDS = 500_000
 
 
+@functools.cache
+def _marks() -> np.ndarray:
+    """Is a code point punctuation or a symbol?"""
+    return np.fromiter((unicodedata.category(chr(c))[0] in "PS" for c in range(sys.maxunicode + 1)), bool, sys.maxunicode + 1)
+
+
+def mark_bytes(data: np.ndarray) -> np.ndarray:
+    """Mask of the bytes of UTF-8 text that belong to punctuation or symbols. Broken characters are none."""
+    marks = _marks()
+    ascii_marks = np.zeros(256, bool)
+    ascii_marks[:128] = marks[:128]
+    out = ascii_marks[data]
+    heads = np.flatnonzero(data >= 0xC2)
+    for n, low, high in ((2, 0xC2, 0xE0), (3, 0xE0, 0xF0), (4, 0xF0, 0xF5)):
+        at = heads[(data[heads] >= low) & (data[heads] < high) & (heads + n <= len(data))]
+        code, whole = (data[at] & (0xFF >> (n + 1))).astype(np.int64), np.ones(len(at), bool)
+        for j in range(1, n):
+            whole &= data[at + j] & 0xC0 == 0x80
+            code = code << 6 | data[at + j] & 0x3F
+        at = at[whole & marks[np.minimum(code, sys.maxunicode)]]
+        for j in range(n):
+            out[at + j] = True
+    return out
+
+
+class Folded(Texts):
+    """Texts whose words are case-folded, and hashed without the marks at their ends."""
+
+    def __init__(self, column: pa.Array | pa.ChunkedArray):
+        fold = lambda x: x if x is None else x.decode("utf-8", "surrogateescape").casefold().encode("utf-8", "surrogateescape")
+        super().__init__(pa.array(map(fold, column.cast(pa.large_binary()).to_pylist()), pa.large_binary()))
+
+    @property
+    def hashes(self) -> np.ndarray:
+        if self._hashes is None:
+            mark = mark_bytes(self.data)
+            edge = np.flatnonzero(np.diff(mark, prepend=False, append=False))
+            starts, ends, lo, hi = self.starts.copy(), self.ends.copy(), edge[::2], edge[1::2]  # runs of marks are lo:hi
+            head, tail = np.flatnonzero(mark[starts]), np.flatnonzero(mark[ends - 1])
+            starts[head] = hi[np.searchsorted(lo, starts[head], "right") - 1]
+            ends[tail] = lo[np.searchsorted(lo, ends[tail] - 1, "right") - 1]
+            bare = starts >= ends
+            starts[bare], ends[bare] = self.starts[bare], self.ends[bare]
+            self._hashes = span_hashes(self.data, starts, ends)
+        return self._hashes
+
+
 class Index:
     """Seeds of a block of items: sorted hashes, and for each its item and place."""
 
     def __init__(self, texts: list[str], ids: list[int], k: int):
-        t = Texts(pa.array(texts, pa.string()))
+        t = Folded(pa.array(texts, pa.string()))
         h, parts = t.hashes, []
         self.ids, self.k = ids, k
         self.words = [h[t.bounds[i] : t.bounds[i + 1]] for i in range(len(ids))]
@@ -100,7 +152,7 @@ def _seed_counts(index: Index):
         seeds = np.unique(index.hash)
         total = np.zeros(len(seeds), np.int64)
         for b in batches(it, "text"):
-            t = Texts(b.column("text"))
+            t = Folded(b.column("text"))
             at, what = index.hits(t)
             if len(at):
                 doc = np.searchsorted(t.bounds, at, "right") - 1
@@ -177,7 +229,7 @@ def _align(index: Index, t: Texts, lo: np.ndarray, reps: np.ndarray, at: np.ndar
 def _aligned(index: Index, threshold: float):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches(it, "text"):
-            t = Texts(b.column("text"))
+            t = Folded(b.column("text"))
             at, what = index.hits(t)
             if not len(at):
                 continue

@@ -229,6 +229,22 @@ def test_decontamination_of_common_copies(spark, monkeypatch):
     assert {(x["doc_id"], x["item_id"], x["matched"]) for x in made} == want
 
 
+def test_decontamination_folds(spark):
+    """Copies in capitals or with other marks at word ends count as the passage; positions count all words."""
+    item = "Él dijo: «la Straße ñandú está aquí», (y) don't stop -- C3 = x ¿qué? 世界。"
+    n = len(item.split())
+    bare = "él dijo la straße ñandú está aquí y don't stop -- c3 = x qué 世界"
+    again = "“Él”, dijo... *la* Straße; ñandú! está_ aquí... [y] ‘don't’ ’stop’ -- #C3 = x, qué! “世界”"
+    texts = ["a b " + item.upper() + " z", bare, again, "-- == !! ?? -- == !! ??", item.replace("dijo", "dice").upper()]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame([(0, item), (1, "-- == !! ??")], "item_id long, text string")
+    got = {(x.doc_id, x.item_id): (x.matched, x.end_word) for x in decontaminate.leaks(d, bench).collect()}
+    assert got == {(0, 0): (n, n + 2), (1, 0): (n, n), (2, 0): (n, n), (3, 1): (4, 4), (4, 0): (n - 2, n)}
+    t = decontaminate.Folded(pa.array([b"\xffabc, (\xc3", None, b"(ABC) --", b"-"], pa.binary()))
+    plain = decontaminate.Folded(pa.array(["abc", "--", "-"])).hashes
+    assert t.bounds.tolist() == [0, 2, 2, 4, 5] and t.hashes[2:].tolist() == plain.tolist()
+
+
 def test_language_model(spark, docs, monkeypatch):
     monkeypatch.setattr(lm, "TOKENS_A_PART", 2000)
     monkeypatch.setattr(lm, "WORDS_A_PART", 50)
