@@ -3,7 +3,8 @@
 1. A token is a tag, with its named attributes, at its path of containers, or a piece of text outside the article. Its occurrence
    vector is its count on each page of its host. Vectors are compared by sums of two seeded page hashes times counts, so
    they're made by plain sums per host and token: a host with a third of all pages meets in no task.
-2. Tokens of one host with equal vectors are an equivalence class. The root class holds the tokens that every page has once; classes of
+2. Tokens of one host with equal vectors are an equivalence class. The root class holds the tokens that every page has once, and texts
+   that come equally often on SHARE of the pages that have tokens; classes of
    tokens that come more often are valid if all their tokens lie below one container, and are nested there.
 3. On each page the template splits text into slots. Slots below an element for menus, headers, footers, sidebars, notices, adverts,
    forms, scripts, styles or comments fall away, as does text that is itself part of the root class; what is left of the article (of the whole body where there is no article) is the main text.
@@ -16,6 +17,7 @@ from __future__ import annotations
 import hashlib
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -31,6 +33,8 @@ BLOCKS = CONTAINERS | frozenset("p h1 h2 h3 h4 h5 h6 pre dt dd figcaption addres
 SKIPPED = frozenset("head nav footer aside form menu select button dialog noscript template iframe svg fieldset".split())
 ROLES = frozenset("ad ads adbox advert adverts advertisement advertising banner promo promotion sponsor sponsored nav navbar navigation menu breadcrumb breadcrumbs header masthead footer sidebar aside widget widgets cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations comment comments commentlist respond replies disqus discussion form search toolbar pagination pager copyright legal disclaimer skip".split())
 MAIN = ("article", "main")
+#: A piece of text is the template's if it comes equally often on at least this share of its host's pages, so some foreign or broken pages don't empty the template.
+SHARE = 0.8
 
 _PART = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|textarea|noscript|template|svg)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)/?>|<[!?/][^>]*(?:>|\Z)", re.DOTALL | re.IGNORECASE)
 _ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
@@ -137,9 +141,13 @@ def _vectors(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for b in it:
         for host, mark, page in zip(b.column("host").to_pylist(), b.column("mark").to_pylist(), b.column("html").to_pylist(), strict=True):
-            walk, count = Walk(page or ""), {("", ""): 1}
-            for key in [*walk.tokens, *((t, "#") for t in walk.outside())]:
+            walk, count, texts = Walk(page or ""), {}, Counter()
+            for key in walk.tokens:
                 count[key] = count.get(key, 0) + 1
+            texts.update(walk.outside())
+            count.update(((t, f"#{n}"), n) for t, n in texts.items())  # each number of occurrences apart
+            if count or any(t.strip() for t, *_ in walk.texts):
+                count["", ""] = 1  # a page that has tokens counts as one of its host
             for (token, path), n in count.items():
                 have = sums.setdefault((host, token, path), [0, 0, 0, 0])
                 have[0] += 1
@@ -159,9 +167,10 @@ def templates(pages: DataFrame) -> DataFrame:
     v = pages.mapInArrow(_vectors, _VECTOR).groupBy("host", "token", "path").agg(*[F.sum(c).alias(c) for c in ("pages", "total", "s1", "s2")])
     v = written(v, "vectors")
     hosts = v.where("token = ''").select("host", F.col("pages").alias("n_pages"))
-    common = v.where("token <> ''").join(hosts, "host").where("n_pages > 1 AND pages = n_pages")
-    classes = common.groupBy("host", "n_pages", "pages", "total", "s1", "s2").agg(F.collect_set("token").alias("tokens"), F.min("path").alias("low"), F.max("path").alias("high"))
-    once = F.col("total") == F.col("pages")
+    common = v.where("token <> ''").join(hosts, "host").withColumn("text", F.col("path").startswith("#"))
+    common = common.where(F.expr("n_pages > 1") & ((F.col("pages") == F.col("n_pages")) | F.col("text") & (F.col("pages") >= SHARE * F.col("n_pages"))))
+    classes = common.groupBy("host", "n_pages", "text", "pages", "total", "s1", "s2").agg(F.collect_set("token").alias("tokens"), F.min("path").alias("low"), F.max("path").alias("high"))
+    once = F.col("text") | (F.col("total") == F.col("pages"))
     valid = ~once & (F.col("low") == F.col("high")) & (F.size("tokens") > 1)
     return classes.groupBy("host", "n_pages").agg(F.flatten(F.collect_list(F.when(once, F.col("tokens")))).alias("root"), F.collect_list(F.when(valid, F.struct(F.col("low").alias("container"), "tokens"))).alias("nested"))
 

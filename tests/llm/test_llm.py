@@ -290,6 +290,15 @@ def test_html(spark):
     assert html.main_texts(d.limit(0)).count() == 0
 
 
+def test_html_mixed_host(spark):
+    """Null, empty and foreign pages, and one that repeats a text, leave the template of a host as it is; texts that come twice belong to it."""
+    page = lambda i, menu="<div>Site menu</div>": f"<body>{menu}<p>x{i} <b>and</b> y{i}{' <b>and</b> z' * (i % 3)}</p><div>More</div><p>end{i}</p><div>More</div></body>"
+    pages = [page(i) for i in range(11)] + [page(11, "<div>Site menu</div>" * 2), None, "", " ", "<p>odd one</p>"]
+    d = spark.createDataFrame([(i, f"http://h/{i}", p) for i, p in enumerate(pages)], "page_id long, url string, html string")
+    want = {i: f"x{i} and y{i}{' and z' * (i % 3)} end{i}" for i in range(12)} | {12: "", 13: "", 14: "", 15: "odd one"}
+    assert {x.page_id: x.text for x in html.main_texts(d).collect()} == want
+
+
 def brute_rules(t):
     w = [x.decode() for x in words(t)]
     grams = collections.Counter(zip(w, w[1:], w[2:], strict=False))
