@@ -1,7 +1,7 @@
 """Mixing sources to target weights by Sainte-Lague apportionment, in DataFrame functions only.
 
 The mix is cut into blocks of equally many words. Blocks go to sources one by one, each to the source with the highest
-quotient target / (2 * seats + 1); a source's seats are spread over shards as integer quotas. A source is a stream of its documents in a seeded
+quotient target / (2 * seats + 1); shard_quotas() can spread a source's seats over shards, but mixed() doesn't use it. A source is a stream of its documents in a seeded
 order, cut into blocks; its seats take whole passes over the stream, and the rest is a seeded arc of blocks. All of this has a closed form
 in the position of a document in its stream, so no row stands for a block and no group meets in one task:
 positions are sums over seeded buckets of about BUCKET_ROWS documents and then within each bucket.
