@@ -11,6 +11,8 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 U = np.uint64
 PIECE = 1 << 20
@@ -189,6 +191,31 @@ def batches(it: Iterable[pa.RecordBatch], column: str, most: int = 8 << 20) -> I
                 give_back()
 
 
+#: A key with at least this share of all rows is hot, so there are at most as many hot keys as its inverse; their rows are spread over so many parts.
+HOT_SHARE, HOT_LEAST, SALTS = 1 / 2000, 1000, 64
+
+
+def salted_join(big: DataFrame, small: DataFrame, keys: list[str], weight: str, spread: list[str]) -> DataFrame:
+    """Inner join of big with small, which has one row for each key and in weight the number of rows of big with that key.
+
+    Rows of a hot key are spread over SALTS parts by a hash of the spread columns, and its row of small is repeated. The list of hot keys is
+    broadcast: it has no more than 1 / HOT_SHARE rows, whatever the size of the tables. small is read three times, so it should be a table."""
+    total = small.agg(F.sum(weight).alias("__total"))
+    hot = small.crossJoin(F.broadcast(total)).where(F.col(weight) >= F.greatest(F.col("__total") * HOT_SHARE, F.lit(HOT_LEAST))).select(*keys, F.lit(True).alias("__hot"))
+    right = small.join(F.broadcast(hot), keys, "left").withColumn("__salt", F.explode(F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))).drop("__hot")
+    left = big.join(F.broadcast(hot), keys, "left").withColumn("__salt", F.when(F.col("__hot"), F.pmod(F.xxhash64(*spread), F.lit(SALTS)).cast("int")).otherwise(0)).drop("__hot")
+    return left.join(right, [*keys, "__salt"]).drop("__salt")
+
+
+def input_parts(df: DataFrame, bytes_a_part: int = 256 << 20) -> int:
+    """Shuffle partitions for the rows of df: the session's number, or more if the files that it reads would make parts larger than that.
+
+    The size is the plan's own statistic (that of the files), taken four times because columns are compressed; where it isn't known the session's number stands."""
+    spark = df.sparkSession
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-4 * size // bytes_a_part) if size < 1 << 60 else 0)
+
+
 def local_path(path: str) -> str:
     """The path as open() takes it. Shared folders in a store without a mount are not supported by mapped files."""
     for head in ("file://", "file:"):

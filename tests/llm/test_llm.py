@@ -16,7 +16,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from stacklight.llm import decontaminate, html, jaccard, lm, mixing, quality_model, queries, rules, substring, tokens, warc
+from stacklight.llm import common, decontaminate, html, jaccard, lm, mixing, quality_model, queries, rules, substring, tokens, warc
 from stacklight.llm.common import Texts, gram_hashes, valid_starts
 from stacklight.session import table
 
@@ -434,3 +434,38 @@ def test_sql_twin(spark, sf_dir, name):
     got = queries.QUERIES[name](spark, sf_dir)
     assert sorted(got.columns) == sorted(want.columns)
     assert collections.Counter(map(tuple, got.select(*want.columns).collect())) == collections.Counter(want.fetchall())
+
+
+def brute_substring(rows):
+    first, want = {}, collections.Counter()
+    for i, w in rows:
+        for p in range(len(w) - 49):
+            if i is not None:
+                g = tuple(w[p : p + 50])
+                first[g] = min(first.get(g, i), i)
+    for i, w in rows:
+        gone = set()
+        for p in range(len(w) - 49):
+            if i is not None and first[tuple(w[p : p + 50])] < i:
+                gone.update(range(p, p + 50))
+        want[i, len(w), len(gone), hashlib.sha256(b" ".join(x for p, x in enumerate(w) if p not in gone)).hexdigest()] += 1
+    return want
+
+
+def test_substring_of_repeated_keys(spark, monkeypatch):
+    """Rows that share a key but not the text are judged each by its own words; hot passages are salted; spans that only look equal stay."""
+    r = random.Random(8)
+    make = lambda n: [f"w{r.randrange(10**6)}" for _ in range(n)]
+    p, q = make(100), make(100)
+    rows = [(1, p), (5, p + make(20)), (5, q), (5, p[:70] + make(9)), (5, q), (6, q[3:80] + p[10:90]), (6, p)]
+    rows += [(10 + i, make(7) + p[i : i + 60] + make(5)) for i in range(40)]
+    d = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
+    want = brute_substring([(i, [x.encode() for x in w]) for i, w in rows])
+    assert collections.Counter(map(tuple, substring.without_repeats(d).collect())) == want
+    monkeypatch.setattr(common, "HOT_SHARE", 1e-9)
+    monkeypatch.setattr(common, "HOT_LEAST", 3)
+    salted = substring.without_repeats(d.repartition(5))
+    assert collections.Counter(map(tuple, salted.collect())) == want
+    # with fingerprints that all agree, only the words at the source decide
+    spans = substring._cut(3)(iter([pa.RecordBatch.from_pylist([{"doc_id": 1, "text": "a b c d", "spans": [{"start": 0, "n": 1, "digest": substring.digest([b"a", b"b", b"x"])}, {"start": 1, "n": 1, "digest": substring.digest([b"b", b"c", b"d"])}]}])]))
+    assert [x["n_removed"] for b in spans for x in b.to_pylist()] == [3]
