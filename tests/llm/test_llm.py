@@ -129,32 +129,68 @@ def shingle_set(t):
     return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
 
 
-def test_jaccard(docs, empty):
-    got = jaccard.near_duplicates(docs).collect()
-    rows = [(i, shingle_set(t)) for i, t, *_ in fixture_rows() if i is not None]
-    links, parent = collections.Counter(), {i: i for i, _ in rows}
+def brute_jaccard(rows):
+    """(doc_id, class_id, n_links) of each row of (doc_id, text)."""
+    sets, parent, links = [shingle_set(t) for _, t in rows], list(range(len(rows))), [0] * len(rows)
 
     def root(x):
         while parent[x] != x:
             x = parent[x]
         return x
 
-    for n, (i, a) in enumerate(rows):
-        for j, b in rows[n + 1 :]:
-            if a and len(a & b) >= 0.8 * len(a | b):
-                links[i] += 1
-                links[j] += 1
-                p, q = sorted((root(i), root(j)))
-                parent[q] = p
-    # a repeated row is a link of itself: each of its rows has as many as the sum over both, halved
-    twice = {i for i, n in collections.Counter(i for i, _ in rows).items() if n > 1}
-    for x in got:
-        assert x.class_id == root(x.doc_id)
-        assert x.n_links == (links[x.doc_id] // 2 if x.doc_id in twice else links[x.doc_id])
-    assert len(got) == len(rows)
+    for n, a in enumerate(sets):
+        for m in range(n + 1, len(rows)):
+            if a and len(a & sets[m]) >= 0.8 * len(a | sets[m]):
+                links[n] += 1
+                links[m] += 1
+                parent[root(m)] = root(n)
+    least = {}
+    for n, (i, _) in enumerate(rows):
+        least[root(n)] = min(least.get(root(n), math.inf), math.inf if i is None else i)
+    return [(i, None if least[root(n)] == math.inf else least[root(n)], links[n]) for n, (i, _) in enumerate(rows)]
+
+
+def test_jaccard(docs, empty):
+    rows = [(i, t) for i, t, *_ in fixture_rows()]
+    want = brute_jaccard(rows)
+    assert collections.Counter((x.doc_id, x.class_id, x.n_links) for x in jaccard.near_duplicates(docs).collect()) == collections.Counter(want)
     assert jaccard.near_duplicates(empty).count() == 0
-    kept = [x.doc_id for x in jaccard.deduplicated(docs).collect()]
-    assert sorted(i for i in kept if i is not None) == sorted(i for i, _ in rows if root(i) == i)
+    kept = collections.Counter(x.doc_id for x in jaccard.deduplicated(docs).collect())
+    wordless = collections.Counter(i for i, t in rows if not words(t))
+    assert kept == collections.Counter({c for (i, c, _), (_, t) in zip(want, rows, strict=True) if words(t)}) + wordless
+    assert jaccard.deduplicated(docs).columns == docs.columns and jaccard.deduplicated(empty).count() == 0
+
+
+def test_jaccard_of_repeated_keys(spark):
+    """Rows that share a key but not the text are in classes of their own; null keys and repeated rows leave one row of a class."""
+    r = random.Random(6)
+    a, b, c = ([f"{x}{r.randrange(9**9)}" for _ in range(90)] for x in "abc")
+    rows = [(5, a), (5, b), (6, [*a, "x"]), (7, [*b, "y"]), (None, [*b, "z"]), (None, c), (None, [*c, "v"]), (8, a), (8, a), (4, c[:40]), (4, c[:40])]
+    rows = [(i, " ".join(w)) for i, w in rows]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = brute_jaccard(rows)
+    assert collections.Counter((x.doc_id, x.class_id, x.n_links) for x in jaccard.near_duplicates(d).collect()) == collections.Counter(want)
+    kept = sorted((x.doc_id or 0, x.text[0]) for x in jaccard.deduplicated(d).collect())
+    assert kept == [(0, "c"), (4, "c"), (5, "a"), (5, "b")]
+
+
+def test_jaccard_boilerplate(spark, monkeypatch):
+    """Many texts that share boilerplate but little else share bands; they end before any set of shingles moves, and near copies among them don't."""
+    r = random.Random(4)
+    shared = [f"s{i}" for i in range(60)]
+    own = lambda i: [f"o{i}_{j}" for j in range(90)]
+    rows = [(i, " ".join(shared + own(i))) for i in range(400)] + [(1000 + i, " ".join(shared + own(i)[:-1])) for i in range(0, 400, 40)]
+    r.shuffle(rows)
+    seen = []
+    plain = jaccard.candidate_groups
+    monkeypatch.setattr(jaccard, "candidate_groups", lambda *x: seen.append(plain(*x)) or seen[-1])
+    monkeypatch.setattr(jaccard, "BUCKET_ROWS", 16)
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {(x.doc_id, x.class_id, x.n_links) for x in jaccard.near_duplicates(d).collect()} == set(brute_jaccard(rows))
+    assert seen[0].count() == 20
+    t = Texts(pa.array([x for _, x in rows]))
+    crowd = collections.Counter(jaccard.bands(jaccard.signatures(*jaccard.shingles(t))).reshape(-1).tolist())
+    assert max(crowd.values()) > 16  # a bucket of several blocks
 
 
 def test_jaccard_blocks(spark, monkeypatch):
@@ -171,6 +207,8 @@ def test_jaccard_blocks(spark, monkeypatch):
     sets = [shingle_set(t) for t in texts]
     want = [sum(len(a & b) >= 0.8 * len(a | b) for j, b in enumerate(sets) if j != i) for i, a in enumerate(sets)]
     monkeypatch.setattr(jaccard, "BLOCK_ROWS", 7)
+    monkeypatch.setattr(jaccard, "BUCKET_ROWS", 9)
+    monkeypatch.setattr(jaccard, "PAIRS", 50)
     assert [x.n_links for x in jaccard.near_duplicates(d).orderBy("doc_id").collect()] == want
 
 
