@@ -198,12 +198,15 @@ HOT_SHARE, HOT_LEAST, SALTS = 1 / 2000, 1000, 64
 def salted_join(big: DataFrame, small: DataFrame, keys: list[str], weight: str, spread: list[str]) -> DataFrame:
     """Inner join of big with small, which has one row for each key and in weight the number of rows of big with that key.
 
-    Rows of a hot key are spread over SALTS parts by a hash of the spread columns, and its row of small is repeated. The list of hot keys is
-    broadcast: it has no more than 1 / HOT_SHARE rows, whatever the size of the tables. small is read three times, so it should be a table."""
-    total = small.agg(F.sum(weight).alias("__total"))
-    hot = small.crossJoin(F.broadcast(total)).where(F.col(weight) >= F.greatest(F.col("__total") * HOT_SHARE, F.lit(HOT_LEAST))).select(*keys, F.lit(True).alias("__hot"))
-    right = small.join(F.broadcast(hot), keys, "left").withColumn("__salt", F.explode(F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))).drop("__hot")
-    left = big.join(F.broadcast(hot), keys, "left").withColumn("__salt", F.when(F.col("__hot"), F.pmod(F.xxhash64(*spread), F.lit(SALTS)).cast("int")).otherwise(0)).drop("__hot")
+    Rows of a hot key are spread over SALTS parts by a hash of the spread columns, and its row of small is repeated. The driver gets hashes of the
+    hot keys: 1 / HOT_SHARE at most, whatever the size of the tables. small is read twice, so it should be a table."""
+    total = small.agg(F.sum(weight).alias("t")).first().t or 0
+    hashed = F.xxhash64(*keys)
+    hot = [r.h for r in small.where(F.col(weight) >= max(total * HOT_SHARE, HOT_LEAST)).select(hashed.alias("h")).collect()]
+    if not hot:
+        return big.join(small, keys)
+    right = small.withColumn("__salt", F.explode(F.when(hashed.isin(hot), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
+    left = big.withColumn("__salt", F.when(hashed.isin(hot), F.pmod(F.xxhash64(*spread), F.lit(SALTS)).cast("int")).otherwise(0))
     return left.join(right, [*keys, "__salt"]).drop("__salt")
 
 
