@@ -339,11 +339,11 @@ def deduplicated(df: DataFrame, key: str = "doc_id", text: str = "text", **optio
     Of rows that repeat that key and text one stays; only those few are grouped, so the other texts aren't moved."""
     found = decided(df, key, text, **options)
     lost = found.where(~(F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("fp") == F.col("class_fp")))).select(F.col("doc_id").alias("__id"), F.col("fp").alias("__fp")).distinct()
-    x = df.withColumns({"__key": F.col(f"`{key}`").cast("long"), "__hash": F.xxhash64(F.col(f"`{text}`"))})
-    same = lambda t: F.col("__key").eqNullSafe(t["__id"]) & (F.col("__hash") == t["__fp"])
+    x = df.select(F.struct(*[f"`{c}`" for c in df.columns]).alias("row"), F.col(f"`{key}`").cast("long").alias("key"), F.xxhash64(F.col(f"`{text}`")).alias("hash"))
+    same = lambda t: F.col("key").eqNullSafe(t["__id"]) & (F.col("hash") == t["__fp"])
     kept = x.join(lost, same(lost), "left_anti")
     again = found.join(lost, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("fp") == F.col("__fp")), "left_anti").where(F.col("n_links") > 0)
     again = written(again.groupBy(F.col("doc_id").alias("__id"), F.col("fp").alias("__fp")).agg(F.count("*").alias("n")).where("n > 1").drop("n"), "repeated-rows")
     if not again.isEmpty():
-        kept = kept.join(again, same(again), "left_anti").unionByName(kept.join(again, same(again), "left_semi").dropDuplicates(["__key", "__hash"]))
-    return kept.drop("__key", "__hash")
+        kept = kept.join(again, same(again), "left_anti").unionByName(kept.join(again, same(again), "left_semi").dropDuplicates(["key", "hash"]))
+    return kept.select("row.*")

@@ -1,10 +1,18 @@
 """Mixing sources to target weights by Sainte-Lague apportionment, in DataFrame functions only.
 
-The mix is cut into blocks of equally many words. Blocks go to sources one by one, each to the source with the highest
-quotient target / (2 * seats + 1); shard_quotas() can spread a source's seats over shards, but mixed() doesn't use it. A source is a stream of its documents in a seeded
-order, cut into blocks; its seats take whole passes over the stream, and the rest is a seeded arc of blocks. All of this has a closed form
-in the position of a document in its stream, so no row stands for a block and no group meets in one task:
-positions are sums over seeded buckets of about BUCKET_ROWS documents and then within each bucket.
+The mix is cut into blocks of equally many words.
+
+1. Targets: water-filling, target = min(most * source_size, level * weight), the level found by Newton's steps on sums over the sources.
+2. Seats: blocks go to sources by highest quotients target / (2 * seats + 1). How many seats have a quotient of q or more is a sum over sources, so the quotient of
+   the last seat is bracketed by grids of sums; only the few seats inside the last bracket are ranked.
+3. A source is a stream of its documents in a seeded order, cut into blocks, and the stream into shards of about SHARD_BLOCKS blocks. Each shard gets an integer
+   quota of the source's seats. Shards of equal blocks have equal quotients, so highest quotients deal the seats evenly, and
+   the quota of blocks [p, q) of n is floor(seats * q / n) - floor(seats * p / n): never more than most * (q - p).
+4. Within a shard, its quota takes whole passes over its blocks, and the rest is a seeded arc of them.
+
+All of this has a closed form in the position of a document in its stream, so no row stands for a block. Positions are sums on three levels (documents
+in a bucket, buckets in a group, groups in a source), ranks of sources are counts of a range partitioning, and rows that repeat a document are one row with a
+number of copies: no source, bucket or repeated document meets in one task.
 
 A null source is a source of its own, the last. Null and empty texts have size 0 and are taken 0 times. Repeated rows are
 separate documents. Sources of size 0 get nothing. An empty table gives an empty result. Columns of df stay, unless a result has the name."""
@@ -15,99 +23,175 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stacklight.llm.rules import n_words
-from stacklight.session import written
+from stacklight.session import dropped, written
 
 BLOCK_WORDS = 64
-BUCKET_ROWS = 2000
+SHARD_BLOCKS = 4096
+#: Documents of a bucket, and buckets of a group, about.
+BUCKET_ROWS, GROUP_BUCKETS = 2000, 1000
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MOST = 2
 SEED = 20
+#: Divisors that one job tries, and seats that are few enough to be ranked.
+GRID, FEW = 64, 1000
+
+
+def numbered(df: DataFrame, *order: Column, name: str = "ord") -> DataFrame:
+    """df, written, with the number of each row in that order, from 1: ranges of the order are numbered apart, after the counts of the ranges before."""
+    x = written(df.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()), "ranges")
+    counts = {r["__range"]: r.n for r in x.groupBy("__range").agg(F.count("*").alias("n")).collect()}  # as many as partitions
+    starts, total = [], 0
+    for k in sorted(counts):
+        starts.append((k, total))
+        total += counts[k]
+    before = x.sparkSession.createDataFrame(starts, "__range int, __before long")
+    rank = F.row_number().over(Window.partitionBy("__range").orderBy(*order))
+    return x.withColumn(name, rank).join(F.broadcast(before), "__range").withColumn(name, F.col(name) + F.col("__before")).drop("__range", "__before")
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
     """(source, ord, n_docs, source_size, weight, target) for (source, n_docs, source_size).
 
-    Water-filling: target = min(most * source_size, level * weight). Sources sorted by cap / weight are full one after another; the level
-    follows from what is left for the first that is not. That is where resharing the excess again and again ends."""
-    one = Window.orderBy(F.col("source").isNull(), F.encode("source", "utf-8"))
-    w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (F.row_number().over(one) - 1) % len(weights) + 1)
-    s = sizes.withColumn("ord", F.row_number().over(one)).withColumn("weight", w)
-    s = s.withColumn("cap", (most * F.col("source_size")).cast("double")).withColumn("ratio", F.col("cap") / F.col("weight"))
-    total = Window.partitionBy()
-    by = Window.orderBy("ratio", "ord")
-    before = by.rowsBetween(Window.unboundedPreceding, -1)
-    s = s.withColumn("total", F.sum("source_size").over(total) * F.lit(share))
-    s = s.withColumn("full", F.coalesce(F.sum("cap").over(before), F.lit(0.0))).withColumn("open", F.sum("weight").over(by.rowsBetween(0, Window.unboundedFollowing)))
-    s = s.withColumn("level", (F.col("total") - F.col("full")) / F.col("open"))
-    # the level is the one at the first source that it does not fill; if it fills all, every source is at its cap
-    level = F.coalesce(F.min(F.when(F.col("level") <= F.col("ratio"), F.struct("ratio", "ord", "level"))).over(total)["level"], F.lit(float("inf")))
-    return s.withColumn("target", F.least("cap", level * F.col("weight"))).select("source", "ord", "n_docs", "source_size", "weight", "target")
+    The sum of targets is concave in the level, so Newton's steps from below end at the level that resharing the excess again and again ends at; each is
+    one sum over the sources, of whole numbers."""
+    s = numbered(sizes, F.col("source").isNull(), F.col("source"))
+    w = F.element_at(F.array(*[F.lit(x) for x in weights]), ((F.col("ord") - 1) % len(weights) + 1).cast("int"))
+    s = written(s.withColumn("weight", w).withColumn("cap", most * F.col("source_size")), "sources")
+    total = s.agg(F.sum("source_size").alias("n"), F.sum("weight").alias("w")).first()
+    level = share * (total.n or 0) / (total.w or 1)
+    while True:
+        full = F.col("cap") <= F.lit(level) * F.col("weight")
+        got = s.agg(F.sum(F.when(full, F.col("cap"))).alias("full"), F.sum(F.when(~full, F.col("weight"))).alias("open")).first()
+        if not got.open:  # every source is at its cap
+            level = float("inf")
+            break
+        after = (share * total.n - (got.full or 0)) / got.open
+        if after <= level:
+            break
+        level = after
+    return s.withColumn("target", F.least(F.col("cap").cast("double"), F.lit(level) * F.col("weight"))).select("source", "ord", "n_docs", "source_size", "weight", "target")
+
+
+def _seats_above(q: Column | float) -> Column:
+    """How many of a source's seats have a quotient of q or more; seats beyond its room don't exist."""
+    return F.when(F.col("target") > 0, F.least("room", F.floor((F.col("target") / q + 1) / 2))).otherwise(0)
 
 
 def apportioned(targets: DataFrame, block_words: int = BLOCK_WORDS, most: int = MOST) -> DataFrame:
-    """targets with seats: Sainte-Lague's number of blocks for each source, sum(target) / block_words in all.
-
-    With the divisor that is exact for real quotas, seats are target / block rounded, and the sum is off by at most half the
-    number of sources. So only quotients that near to a source's rounded quota are ranked; lower seats are its own anyway."""
-    total = Window.partitionBy()
-    t = targets.withColumn("n_sources", F.count("*").over(total)).withColumn("want", F.round(F.sum("target").over(total) / block_words).cast("long"))
-    t = t.withColumn("room", F.ceil(F.col("source_size") / block_words) * most).withColumn("near", F.floor(F.col("target") / block_words + 0.5))
-    t = t.withColumn("low", F.least("room", F.greatest(F.lit(0).cast("long"), F.col("near") - F.floor(F.col("n_sources") / 2) - 2)))
-    t = t.withColumn("given", F.sum(F.when(F.col("target") > 0, F.col("low")).otherwise(0)).over(total))
-    seat = F.explode(F.sequence(F.col("low"), F.col("near") + F.floor(F.col("n_sources") / 2) + 2)).alias("seat")
-    ranked = t.where("target > 0").select("ord", "target", "room", seat, "want", "given").where("seat < room")
-    ranked = ranked.withColumn("rank", F.row_number().over(Window.orderBy(F.desc(F.col("target") / (2 * F.col("seat") + 1)), "ord", "seat")))
-    won = ranked.where("rank <= want - given").groupBy("ord").agg(F.count("*").alias("won"))
-    return t.join(won, "ord", "left").select("source", "ord", "n_docs", "source_size", "weight", "target", F.when(F.col("target") > 0, F.col("low") + F.coalesce("won", F.lit(0))).otherwise(0).cast("long").alias("seats"))
-
-
-def shard_quotas(quotas: DataFrame, shards: int) -> DataFrame:
-    """(source, shard, quota): a source's seats over shards of equal rank, again highest quotients first."""
-    j = F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard")
-    x = quotas.select("source", "seats", j)
-    return x.select("source", "shard", (F.floor((F.col("shard") + 1) * F.col("seats") / shards) - F.floor(F.col("shard") * F.col("seats") / shards)).alias("quota"))
-
-
-def _uniform(*cols: Column) -> Column:
-    """A seeded value in [0, 1), the same on every run."""
-    return F.shiftrightunsigned(F.xxhash64(*cols), 11) / F.lit(float(1 << 53))
-
-
-def mixed(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST, block_words: int = BLOCK_WORDS, seed: int = SEED, keep_rows: bool = False) -> DataFrame:
-    """(doc_id, size, source_size, target, taken), and the row itself as struct __row if keep_rows."""
-    key_, row = F.col(f"`{key}`"), [F.struct(*[f"`{c}`" for c in df.columns]).alias("__row")] if keep_rows else []
-    sized = df.select(key_.alias("doc_id"), F.col(f"`{source}`").alias("source"), n_words(text).alias("size"), F.xxhash64(f"`{text}`").alias("text_hash"), *row)
-    sized = sized.withColumn("u", _uniform(F.lit(seed), "doc_id", "text_hash")).drop("text_hash")
-    sized = written(sized, "mix-sizes")
-    sizes = sized.groupBy("source").agg(F.count("*").alias("n_docs"), F.sum("size").alias("source_size"))
-    quotas = written(apportioned(source_targets(sizes, weights, share, most), block_words, most), "mix-quotas").coalesce(1)
-    q = quotas.select(F.col("source").alias("q_source"), "ord", "n_docs", "source_size", "target", "seats")
+    """targets with seats: Sainte-Lague's number of blocks for each source, sum(target) / block_words in all; ties go to the source before."""
+    t = written(targets.withColumn("room", F.ceil(F.col("source_size") / block_words) * most), "targets")
+    got = t.agg(F.round(F.sum("target") / block_words).cast("long").alias("want"), F.max("target").alias("top"), F.min(F.when(F.col("target") > 0, F.col("target") / (2 * F.col("room") + 1))).alias("end"), F.sum(F.when(F.col("target") > 0, F.col("room"))).alias("all")).first()
+    want = min(got.want or 0, got["all"] or 0)
+    if not want:
+        return t.withColumn("seats", F.lit(0).cast("long")).drop("room")
+    high, low, above, below = 2.0 * got.top, got.end, 0, got["all"]  # seats with quotients of at least each
+    while below - above > FEW:
+        step = (low / high) ** (1 / GRID)
+        grid = [high * step**k for k in range(1, GRID)]
+        grid = [q for q in dict.fromkeys(grid) if low < q < high]
+        if not grid:  # as many seats with one quotient
+            break
+        sums = t.agg(*[F.sum(_seats_above(F.lit(q))).alias(f"q{k}") for k, q in enumerate(grid)]).first()
+        for q, n in zip(grid, sums, strict=True):
+            if n >= want:
+                low, below = q, n
+                break
+            high, above = q, n
+    sure, most_ = _seats_above(F.lit(high)), _seats_above(F.lit(low))
+    t = t.withColumn("sure", sure.cast("long")).withColumn("open", most_.cast("long"))
+    last = t.where("open > sure").select("ord", "target", F.explode(F.sequence("sure", F.col("open") - 1)).alias("seat"))
+    last = numbered(last.withColumn("quotient", F.col("target") / (2 * F.col("seat") + 1)), F.desc("quotient"), F.col("ord"), F.col("seat"), name="rank")
+    won = last.where(F.col("rank") <= want - above).groupBy("ord").agg(F.count("*").alias("won"))
+    return t.join(won, "ord", "left").select(*[t[c] for c in targets.columns], (F.col("sure") + F.coalesce("won", F.lit(0))).alias("seats"))
+
+
+def _hex(column: str, start: int, digits: int) -> Column:
+    return F.conv(F.substring(column, start, digits), 16, 10).cast("long")
+
+
+def _units(df: DataFrame, key: str, text: str, source: str, seed: int, row: Column) -> DataFrame:
+    """Distinct documents with their numbers of rows: (doc_id, source, size, u, row, copies). u: seeded hex digits, the same on every run and engine."""
+    known = F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col(f"`{key}`").cast("string"), F.lit("")), F.lit("|"), F.md5(F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary"))).cast("binary"))
+    d = df.select(F.col(f"`{key}`").alias("doc_id"), F.col(f"`{source}`").alias("source"), n_words(text).alias("size"), known.alias("u"), row.alias("row"))
+    return written(d.groupBy("doc_id", "source", "size", "u", "row").agg(F.count("*").alias("copies")), "mix-units")
+
+
+def _positions(x: DataFrame) -> DataFrame:
+    """x(ord, n_docs, u, doc_id, size, row, copies) with a: the words of its source's stream before it."""
+    x = x.withColumn("bucket", F.shiftright(_hex("u", 1, 7) * F.ceil(F.col("n_docs") / BUCKET_ROWS), 28)).withColumn("words", F.col("size") * F.col("copies"))
+    groups = written(x.groupBy("ord", "bucket").agg(F.sum("words").alias("words")).withColumn("grp", F.floor(F.col("bucket") / GROUP_BUCKETS)), "mix-buckets")
+    upto = lambda keys, order: F.coalesce(F.sum("words").over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long"))
+    starts = groups.groupBy("ord", "grp").agg(F.sum("words").alias("words")).select("ord", "grp", upto(["ord"], ["grp"]).alias("start"))
+    buckets = groups.select("ord", "grp", "bucket", upto(["ord", "grp"], ["bucket"]).alias("before")).join(starts, ["ord", "grp"]).select("ord", "bucket", (F.col("start") + F.col("before")).alias("start"))
+    within = upto(["ord", "bucket"], ["u", "doc_id", "size", "row"])
+    return x.withColumn("inside", within).join(buckets, ["ord", "bucket"]).withColumn("a", F.col("start") + F.col("inside")).drop("bucket", "words", "inside", "start")
+
+
+def words_taken(a: Column, block_words: int = BLOCK_WORDS, seed: int = SEED) -> Column:
+    """Words taken of the first a words of a source's stream, from its blocks, shards and seats.
+
+    Shard j of the source has blocks [p, q); its quota takes quota div (q - p) passes, and (quota mod (q - p)) blocks from a seeded one on, round its end."""
+    n, w = F.col("blocks"), F.lit(block_words)
+    div = lambda x, y: F.call_function("div", x, F.greatest(y, F.lit(1)))
+    times = lambda x, y: x.cast("decimal(18,0)") * y.cast("decimal(18,0)")  # noqa: E731, products may have more than 63 bits
+    at = F.least(div(a, w), F.greatest(n - 1, F.lit(0)))  # the block that holds a
+    edge = lambda j: div(times(j, n), F.col("shards"))
+    guess = div(times(at + 1, F.col("shards")) - 1, n)
+    p, q = edge(guess), edge(guess + 1)
+    upto = lambda x: div(times(F.col("seats"), x), n)
+    length, quota = q - p, upto(q) - upto(p)
+    passes, arc = div(quota, length), quota % F.greatest(length, F.lit(1))
+    first = _hex_seed(seed, guess) % F.greatest(length, F.lit(1))
+    # words of the shard before a, and the arc's words among them, before and after it wraps
+    here, size = a - p * w, F.least(q * w, F.col("source_size")) - p * w
+    over = lambda lo, hi: F.greatest(F.lit(0), F.least(here, hi, size) - lo)
+    wrapped = (first + arc - length) * w
+    part = F.when(wrapped > 0, over(F.lit(0), wrapped)).otherwise(0) + over(first * w, (first + arc) * w)
+    # whole shards before: each gives its quota of blocks, but the last block of the source may be short
+    return F.when((n > 0) & (a > 0), upto(p) * w + passes * here + part).otherwise(0).cast("long")
+
+
+def _hex_seed(seed: int, shard: Column) -> Column:
+    return F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(f"{seed}|shard"), F.col("ord").cast("string"), shard.cast("long").cast("string")).cast("binary")), 1, 12), 16, 10).cast("long")
+
+
+def _mixed(df: DataFrame, key: str, text: str, source: str, weights: tuple[int, ...], share: float, most: int, block_words: int, seed: int, row: Column) -> DataFrame:
+    """(doc_id, size, row, copies, source_size, target, a) and what words_taken() reads, of distinct documents."""
+    units = _units(df, key, text, source, seed, row)
+    sizes = units.groupBy("source").agg(F.sum("copies").alias("n_docs"), F.sum(F.col("size") * F.col("copies")).alias("source_size"))
+    quotas = apportioned(source_targets(sizes, weights, share, most), block_words, most)
+    q = written(quotas.withColumn("blocks", F.ceil(F.col("source_size") / block_words)).withColumn("shards", F.greatest(F.lit(1), F.ceil(F.col("blocks") / SHARD_BLOCKS))), "mix-quotas")
+    q = q.select(F.col("source").alias("q_source"), "ord", "n_docs", "source_size", "target", "seats", "blocks", "shards")
     # sources are few rows; AQE broadcasts them if they are small and splits a hot source if they are not
-    x = sized.join(q, F.col("source").eqNullSafe(F.col("q_source"))).drop("q_source", "source")
-    x = x.withColumn("bucket", F.floor(F.col("u") * F.ceil(F.col("n_docs") / BUCKET_ROWS)))
-    sums = x.groupBy("ord", "bucket").agg(F.sum("size").alias("in_bucket"))
-    sums = sums.withColumn("bucket_start", F.coalesce(F.sum("in_bucket").over(Window.partitionBy("ord").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long"))).drop("in_bucket")
-    within = Window.partitionBy("ord", "bucket").orderBy("u", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    x = x.withColumn("offset", F.coalesce(F.sum("size").over(within), F.lit(0).cast("long"))).join(sums, ["ord", "bucket"])
-    a = F.col("bucket_start") + F.col("offset")
-    x = x.withColumn("a", a).withColumn("blocks", F.ceil(F.col("source_size") / block_words))
-    x = x.withColumn("passes", F.when(F.col("blocks") > 0, F.floor(F.col("seats") / F.col("blocks"))).otherwise(0))
-    x = x.withColumn("arc", F.when(F.col("blocks") > 0, F.col("seats") % F.col("blocks")).otherwise(0))
-    x = x.withColumn("first", F.floor(_uniform(F.lit(seed), F.lit("arc"), "ord") * F.col("blocks")))
-    # the arc [first, first + arc) of blocks, in words, wraps round the end of the stream
-    lo, hi = F.col("first") * block_words, (F.col("first") + F.col("arc")) * block_words
-    end, n = F.col("a") + F.col("size"), F.col("source_size")
-    wrapped = (F.col("first") + F.col("arc") - F.col("blocks")) * block_words
-    over = lambda p, q: F.greatest(F.lit(0).cast("long"), F.least(end, q) - F.greatest(F.col("a"), p))
-    part = over(lo, F.least(hi, n)) + F.when(wrapped > 0, over(F.lit(0).cast("long"), wrapped)).otherwise(0)
-    x = x.withColumn("taken", (F.col("passes") * F.col("size") + part).cast("long"))
-    return x.select("doc_id", "size", "source_size", "target", "taken", *(["__row"] if keep_rows else []))
-
-
-def mixed_rows(df: DataFrame, **options) -> DataFrame:
-    """Rows of df, each as often as its taken words fill it (rounded half up): 0, 1 or 2 times by default."""
-    x = mixed(df, keep_rows=True, **options)
-    copies = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + F.lit(0.5))).otherwise(0).cast("int")
-    x = x.withColumn("copies", copies).where("copies > 0")
-    return x.select("__row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("__copy")).select("__row.*")
+    x = units.join(q, F.col("source").eqNullSafe(F.col("q_source"))).drop("q_source", "source")
+    return _positions(x)
+
+
+def mixed(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST, block_words: int = BLOCK_WORDS, seed: int = SEED) -> DataFrame:
+    """(doc_id, size, source_size, target, taken) for each row."""
+    x = _mixed(df, key, text, source, weights, share, most, block_words, seed, F.lit(0))
+    # repeats of a document follow each other in the stream; each is a row again
+    x = x.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
+    a = F.col("a") + F.col("copy") * F.col("size")
+    taken = words_taken(a + F.col("size"), block_words, seed) - words_taken(a, block_words, seed)
+    return x.select("doc_id", "size", "source_size", "target", taken.alias("taken"))
+
+
+def mixed_rows(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST, block_words: int = BLOCK_WORDS, seed: int = SEED) -> DataFrame:
+    """Rows of df, each as often as its taken words fill it (rounded half up): 0, 1 or 2 times by default.
+
+    Rows that are equal in all columns are one row and a number of copies, so texts are moved once, to the decision on them."""
+    row = F.xxhash64(*[f"`{c}`" for c in df.columns])
+    x = _mixed(df, key, text, source, weights, share, most, block_words, seed, row)
+    copy = F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)
+    x = x.withColumn("copy", F.explode(copy)).withColumn("a", F.col("a") + F.col("copy") * F.col("size"))
+    taken = words_taken(F.col("a") + F.col("size"), block_words, seed) - words_taken(F.col("a"), block_words, seed)
+    times = F.when(F.col("size") > 0, F.floor(taken / F.greatest("size", F.lit(1)) + F.lit(0.5))).otherwise(0)
+    found = x.select(F.col("doc_id").alias("__id"), F.col("row").alias("__row"), "copies", times.alias("times")).groupBy("__id", "__row").agg(F.sum("times").cast("int").alias("__times"), F.first("copies").alias("__copies"))
+    found = written(found.where("__times > 0"), "mix-decided")
+    wrapped = df.select(F.struct(*[f"`{c}`" for c in df.columns]).alias("row"), F.col(f"`{key}`").alias("key"), row.alias("hash"))
+    y = wrapped.join(found, F.col("key").eqNullSafe(F.col("__id")) & (F.col("hash") == F.col("__row")))
+    if not found.where("__copies > 1").isEmpty():
+        y = y.where("__copies = 1").unionByName(y.where("__copies > 1").dropDuplicates(["__id", "__row"]))
+    return y.select("row", F.explode(F.sequence(F.lit(1), F.col("__times"))).alias("copy")).select("row.*")

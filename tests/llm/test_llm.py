@@ -391,17 +391,64 @@ def test_mixing(spark, docs, empty):
     assert mixing.mixed(empty).count() == 0 and mixing.mixed_rows(docs).columns == docs.columns
 
 
-def test_apportionment_is_highest_quotients(spark):
+def test_mixing_repeats(spark):
+    """A document that is repeated is as many rows; equal rows of the mix are as many, whatever their partitions, and columns stay with their rows."""
+    rows = [(1, "a b c " * 40, "x", "en")] * 50 + [(1, "a b c " * 40, "x", "fr")] * 3 + [(2, "d " * 70, "x", None), (None, "e", None, "en"), (None, "e", None, "en"), (3, None, "y", "en")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string, __row string")
+    got = mixing.mixed(d.repartition(4)).collect()
+    assert collections.Counter((x.doc_id, x.size) for x in got) == collections.Counter((i, len(words(t))) for i, t, *_ in rows)
+    assert all(0 <= x.taken <= 2 * x.size for x in got)
+    made = [collections.Counter(map(tuple, mixing.mixed_rows(d.repartition(n)).collect())) for n in (1, 6)]
+    assert made[0] == made[1] and set(made[0]) <= set(rows)
+    assert all(n <= 2 * rows.count(x) for x, n in made[0].items()) and sum(made[0].values()) > len(rows)
+
+
+def brute_taken(a, blocks, source_size, seats, shards, first):
+    """Words taken of the first a words of a stream, block by block."""
+    left = {}
+    for j in range(shards):
+        p, q = j * blocks // shards, (j + 1) * blocks // shards
+        quota = seats * q // blocks - seats * p // blocks
+        for k in range(p, q):
+            left[k] = quota // (q - p) + ((k - p - first[j] % (q - p)) % (q - p) < quota % (q - p))
+    return sum(n * max(0, min(a, 64 * k + 64, source_size) - 64 * k) for k, n in left.items())
+
+
+def test_words_taken(spark):
+    """The closed form against blocks one by one, over many shards."""
+    r = random.Random(7)
+    cases = []
+    for o in range(1, 30):
+        size = r.randrange(1, 3000)
+        blocks = -(-size // 64)
+        cases.append((o, blocks, size, r.randrange(0, 2 * blocks + 1), r.randrange(1, min(blocks, 7) + 1), r.randrange(0, size + 1)))
+    cases += [(o, b, s, e, h, s) for o, b, s, e, h, _ in cases]
+    d = spark.createDataFrame(cases, "ord long, blocks long, source_size long, seats long, shards long, a long")
+    first = lambda o, j: int(hashlib.md5(f"20|shard|{o}|{j}".encode()).hexdigest()[:12], 16)
+    for x in d.withColumn("t", mixing.words_taken(F.col("a"))).collect():
+        assert x.t == brute_taken(x.a, x.blocks, x.source_size, x.seats, x.shards, [first(x.ord, j) for j in range(x.shards)])
+
+
+def test_apportionment_is_highest_quotients(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "FEW", 20)
     r = random.Random(4)
-    t = [(f"s{i:02}", i + 1, 1, 10**9, 1.0, float(r.randrange(1, 100_000))) for i in range(15)]
-    d = spark.createDataFrame(t, "source string, ord int, n_docs long, source_size long, weight double, target double")
+    t = [(f"s{i:02}", i + 1, 1, 10**9, 1, float(r.randrange(1, 100_000))) for i in range(15)] + [(f"t{i}", 20 + i, 1, 70, 1, 140.0) for i in range(40)]
+    d = spark.createDataFrame(t, "source string, ord long, n_docs long, source_size long, weight int, target double")
     got = {x.source: x.seats for x in mixing.apportioned(d).collect()}
     seats = dict.fromkeys(got, 0)
     for _ in range(round(sum(x[5] for x in t) / mixing.BLOCK_WORDS)):
-        best = max(t, key=lambda x: (x[5] / (2 * seats[x[0]] + 1), -x[1]))[0]
+        best = max((x for x in t if seats[x[0]] < 2 * -(-x[3] // 64)), key=lambda x: (x[5] / (2 * seats[x[0]] + 1), -x[1]))[0]
         seats[best] += 1
     assert got == seats
-    assert sum(x.quota for x in mixing.shard_quotas(mixing.apportioned(d), 7).collect()) == sum(seats.values())
+
+
+def test_many_sources(spark):
+    """100,000 sources: ranks and quotas are sums, not windows over all."""
+    d = spark.range(100_000).select(F.concat(F.lit("s"), F.lpad(F.col("id").cast("string"), 6, "0")).alias("source"), F.lit(1).cast("long").alias("n_docs"), (F.col("id") % 997 * 10).alias("source_size"))
+    t = mixing.source_targets(d)
+    x = mixing.apportioned(t).agg(F.sum("seats").alias("seats"), F.sum("target").alias("target"), F.max("ord").alias("ord"), F.count_if(F.col("target") > 2 * F.col("source_size")).alias("above")).first()
+    assert x.seats == round(x.target / 64) and x.ord == 100_000 and x.above == 0
+    assert abs(x.target / d.agg(F.sum("source_size")).first()[0] - 1.5) < 1e-9
 
 
 def test_substring(docs, empty):
