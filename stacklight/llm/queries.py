@@ -62,11 +62,9 @@ def op8_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from stacklight.llm import rules
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    order = rules.estimated_order(docs)
-    m = rules.metrics(docs).drop("text")
-    m = m.withColumn("base_failed", F.expr("n_words < 50 OR 100 * n_repeat_words > 50 * n_words"))
-    m = m.withColumn("failed_rule", rules.verdict(order, have=tuple(rules.METRICS)))
-    return m.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & F.col("failed_rule").isNull()).alias("kept"))
+    m = rules.judged(docs, rules.estimated_order(docs))
+    base = F.coalesce(F.col("failed_rule").isin([r.name for r in rules.BASE]), F.lit(False))
+    return m.select("doc_id", *rules.CONTRACT, base.alias("base_failed"), F.col("failed_rule").isNull().alias("kept"))
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,12 +103,16 @@ repeated AS (SELECT row, sum(n)::BIGINT AS n FROM steps GROUP BY row),
 lines AS (SELECT row, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS l FROM d),
 m AS (
   SELECT doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
-         (length(t) - length(replace(t, '!', '')))::BIGINT AS n_marks, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words
+         (length(t) - length(replace(t, '!', '')))::BIGINT AS n_marks, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words,
+         length(t) - length(regexp_replace(t, '\\p{{L}}+', '', 'g')) AS n_letters, length(t) - length(regexp_replace(t, '\\p{{Lu}}+', '', 'g')) AS n_capitals, length(t) - length(regexp_replace(t, '[0-9]+', '', 'g')) AS n_digits,
+         coalesce(list_max(list_transform(w, lambda x: length(x))), 0) AS longest_word, len(l) AS n_lines,
+         len(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '^[\\x20\\x09]*[-*\u2022]'))) AS n_bullets, len(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '([.][.][.]|\u2026)[\\x20\\x09\\x0D]*$'))) AS n_ellipses
   FROM d JOIN lines USING (row) LEFT JOIN repeated USING (row)
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
        NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words OR word_chars < 2 * n_words OR word_chars > 15 * n_words OR 10 * n_symbols > n_words
-            OR 5 * n_marks > n_words OR (n_dup_lines >= 3 AND 20 * n_dup_lines > n_words)) AS kept
+            OR 5 * n_marks > n_words OR (n_dup_lines >= 3 AND 20 * n_dup_lines > n_words) OR 2 * n_letters < word_chars OR 2 * n_capitals > n_letters OR 5 * n_digits > word_chars
+            OR longest_word > 1000 OR 10 * n_bullets > 9 * n_lines OR 10 * n_ellipses > 3 * n_lines) AS kept
 FROM m
 """
 

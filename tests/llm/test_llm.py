@@ -8,6 +8,7 @@ import hashlib
 import math
 import random
 import re
+import unicodedata
 import zlib
 
 import duckdb
@@ -345,17 +346,60 @@ def brute_rules(t):
     return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t or ""), len(lines) - len(set(lines)), len(inside)
 
 
+def brute_failed(t):
+    """The names of all rules that reject the text."""
+    n, chars, symbols, dup, again = brute_rules(t)
+    t = t or ""
+    lines = [x for x in t.split("\n")]
+    letters, capitals = sum(c.isalpha() and unicodedata.category(c)[0] == "L" for c in t), sum(unicodedata.category(c) == "Lu" for c in t)
+    full = [x for x in lines if words(x)]
+    checks = {
+        "too_few_words": n < 50, "repeated_words": 100 * again > 50 * n, "word_length": chars < 2 * n or chars > 15 * n, "symbols": 10 * symbols > n, "repeated_lines": dup >= 3 and 20 * dup > n,
+        "shouting": 5 * t.count("!") > n, "few_letters": 2 * letters < chars, "capitals": 2 * capitals > letters, "digits": 5 * sum(c in "0123456789" for c in t) > chars,
+        "long_word": max([len(x.decode()) for x in words(t)], default=0) > 1000, "bullets": 10 * sum(bool(re.match("[ \t]*[-*\u2022]", x)) for x in lines) > 9 * len(full), "ellipses": 10 * sum(bool(re.search("([.][.][.]|\u2026)[ \t\r]*$", x)) for x in lines) > 3 * len(full),
+    }
+    return {k for k, v in checks.items() if v}
+
+
 def test_rules(spark, docs, empty):
-    extra = spark.createDataFrame([(90, "a b c a b c a b"), (91, "x\nx\n \ny # | <>"), (92, "é é é\x1cb")], "doc_id long, text string")
-    d = docs.select("doc_id", "text").unionByName(extra)
-    for x in rules.metrics(d).collect():
-        assert (x.n_words, x.word_chars, x.n_symbols, x.n_dup_lines, x.n_repeat_words) == brute_rules(x.text)
+    r = random.Random(1)
+    fill = lambda n: " ".join(f"w{chr(97 + r.randrange(26)) * 3}{r.randrange(9)}" for _ in range(n))
+    odd = ["a b c a b c a b", "x\nx\n \ny # | <>", "é é é\x1cb", fill(60).upper(), fill(60) + " " + "x" * 1200, "\n".join("- " + fill(9) for _ in range(9)), "\n".join(fill(9) + "... " for _ in range(9)), " ".join(str(i) for i in range(999)), "ß! " * 70, fill(80).replace("w", "=="), "\n".join(["same line of words"] * 9 + [fill(30)] * 2), fill(70)]
+    d = docs.select("doc_id", "text").unionByName(spark.createDataFrame([(90 + i, t) for i, t in enumerate(odd)], "doc_id long, text string"))
     order = rules.estimated_order(d)
+    assert {x["rule"] for x in order} == set(rules.RULES) and all(x["cost"] > 0 for x in order)
+    seen = set()
     for a in (order, order[::-1]):  # the order changes no verdict
-        assert {(x.doc_id, x.v is None) for x in d.withColumn("v", rules.verdict(a)).collect()} == {(x.doc_id, x.v is None) for x in rules.metrics(d).withColumn("v", rules.verdict(a, have=tuple(rules.METRICS))).collect()}
+        for x in rules.judged(d, a).collect():
+            failed = brute_failed(x.text)
+            assert tuple(x[c] for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")) == brute_rules(x.text)
+            assert (x.failed_rule is None) == (not failed) and (x.failed_rule is None or x.failed_rule in failed)
+            assert not failed & {"too_few_words", "repeated_words"} or x.failed_rule in ("too_few_words", "repeated_words")
+            seen |= failed
+    assert seen == {x.name for x in rules.BASE + rules.RULES}
+    want = collections.Counter(i for i, t, *_ in fixture_rows() if not brute_failed(t))
     kept = rules.filtered(docs)
-    assert kept.columns == docs.columns and 0 < kept.count() < docs.count()
-    assert rules.filtered(empty).count() == 0
+    assert kept.columns == docs.columns and collections.Counter(x.doc_id for x in kept.collect()) == want
+    assert rules.filtered(empty).count() == 0 and rules.judged(empty, rules.estimated_order(empty)).count() == 0
+
+
+def test_rules_of_hash_neighbours(spark):
+    """Windows with equal heads of their hashes don't hide each other: the whole hashes are compared, whatever lies between in their order."""
+    r = random.Random(12)
+    w = [f"n{r.randrange(60)}" for _ in range(4000)]
+    texts = [" ".join(w), " ".join(["a b c"] * 2 + [f"u{i}" for i in range(70_000)] + ["a b c"])]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for x in rules.judged(d, []).collect():
+        assert x.n_repeat_words == brute_rules(x.text)[4]
+
+
+def test_rule_order_is_conditional(monkeypatch):
+    """A rule whose rejections an earlier one has taken comes after one that rejects anew."""
+    a, b, c = rules.Rule("a", "{n_words} < 9"), rules.Rule("b", "{n_words} < 8"), rules.Rule("c", "{n_marks} > 9")
+    monkeypatch.setattr(rules, "measured", lambda *x: ([[True] * 5 + [False] * 5, [True] * 4 + [False] * 6, [False] * 9 + [True]], [1e-6, 1e-6, 2e-6]))
+    assert [x["rule"].name for x in rules.estimated_order(None, (b, c, a))] != ["b", "c", "a"]
+    monkeypatch.setattr(rules, "measured", lambda *x: ([[True] * 4 + [False] * 6, [False] * 9 + [True], [True] * 5 + [False] * 5], [1e-6, 2e-6, 1e-6]))
+    assert [x["rule"].name for x in rules.estimated_order(None, (b, c, a))] == ["a", "c", "b"]
 
 
 def test_mixing(spark, docs, empty):
