@@ -9,15 +9,15 @@ from pyspark.sql import functions as F
 
 # Clusters and their concepts.
 CLUSTERS = {
-    "psychological_states": "identity grief trauma obsession loneliness guilt madness desire jealousy shame resilience self-discovery",
-    "interpersonal_themes": "forbidden-love betrayal friendship family-dynamics mentor-student rivalry forgiveness sacrifice loyalty revenge",
-    "societal_themes": "class-struggle racism colonialism war revolution justice corruption censorship immigration gender-roles religious-conflict surveillance",
-    "philosophical_themes": "free-will mortality good-vs-evil existentialism faith truth-vs-illusion nature-vs-nurture power redemption absurdism",
-    "narrative_tropes": "coming-of-age quest unreliable-narrator time-travel dystopia utopia chosen-one forbidden-knowledge double-life survival escape transformation",
-    "settings_atmosphere": "small-town urban-decay wilderness gothic maritime wartime post-apocalyptic academic domestic underworld",
-    "literary_moods": "satirical elegiac whimsical noir pastoral claustrophobic dreamlike epic",
-    "subject_domains": "science art music politics crime spirituality technology nature history mythology",
-    "audience_form": "autobiographical epistolary allegorical metafiction bildungsroman magical-realism",
+    "psychological_states": ("identity", "grief", "trauma", "obsession", "loneliness", "guilt", "madness", "desire", "jealousy", "shame", "resilience", "self-discovery"),
+    "interpersonal_themes": ("forbidden-love", "betrayal", "friendship", "family-dynamics", "mentor-student", "rivalry", "forgiveness", "sacrifice", "loyalty", "revenge"),
+    "societal_themes": ("class-struggle", "racism", "colonialism", "war", "revolution", "justice", "corruption", "censorship", "immigration", "gender-roles", "religious-conflict", "surveillance"),
+    "philosophical_themes": ("free-will", "mortality", "good-vs-evil", "existentialism", "faith", "truth-vs-illusion", "nature-vs-nurture", "power", "redemption", "absurdism"),
+    "narrative_tropes": ("coming-of-age", "quest", "unreliable-narrator", "time-travel", "dystopia", "utopia", "chosen-one", "forbidden-knowledge", "double-life", "survival", "escape", "transformation"),
+    "settings_atmosphere": ("small-town", "urban-decay", "wilderness", "gothic", "maritime", "wartime", "post-apocalyptic", "academic", "domestic", "underworld"),
+    "literary_moods": ("satirical", "elegiac", "whimsical", "noir", "pastoral", "claustrophobic", "dreamlike", "epic"),
+    "subject_domains": ("science", "art", "music", "politics", "crime", "spirituality", "technology", "nature", "history", "mythology"),
+    "audience_form": ("autobiographical", "epistolary", "allegorical", "metafiction", "bildungsroman", "magical-realism"),
 }
 # Which clusters make up which vocabulary.
 VOCABULARIES = {
@@ -54,7 +54,7 @@ GENRES = ("romance", "science fiction", "scifi", "fantasy", "horror", "mystery",
 
 def concepts(*clusters: str) -> list[str]:
     """Concepts of the clusters (all by default), sorted."""
-    return sorted(chain.from_iterable(CLUSTERS[c].split() for c in clusters or CLUSTERS))
+    return sorted(chain.from_iterable(CLUSTERS[c] for c in clusters or CLUSTERS))
 
 
 def vocabulary(field: str) -> list[str]:
@@ -63,7 +63,7 @@ def vocabulary(field: str) -> list[str]:
 
 def ontology(spark: SparkSession) -> DataFrame:
     """(cluster, concept), 90 rows."""
-    return spark.createDataFrame([(k, c) for k, v in CLUSTERS.items() for c in v.split()], "cluster string, concept string")
+    return spark.createDataFrame([(k, c) for k, v in CLUSTERS.items() for c in v], "cluster string, concept string")
 
 
 def literal_map(values: dict[str, str]) -> Column:
@@ -75,7 +75,7 @@ def literal_array(values: list[str]) -> Column:
 
 
 def cluster_of(concept: Column) -> Column:
-    return F.coalesce(literal_map({c: k for k, v in CLUSTERS.items() for c in v.split()})[concept], F.lit("unknown"))
+    return F.coalesce(literal_map({c: k for k, v in CLUSTERS.items() for c in v})[concept], F.lit("unknown"))
 
 
 def prompt_lists(spark: SparkSession) -> DataFrame:

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stacklight.config import DEFAULTS
 from stacklight.functions import text as T
 from stacklight.functions.providers import best_label, stub_emotions, stub_zero_shot
-from stacklight.ontology import CATEGORIES, EMOTIONS, GENRES, literal_map
+from stacklight.ontology import CATEGORIES, EMOTIONS, GENRES, TONES, literal_map
+from stacklight.operators.ranges import cumulated
+from stacklight.session import written
 
 REQUIRED = ("description", "num_pages", "average_rating", "published_year")
 
@@ -66,19 +68,26 @@ def frequencies(df: DataFrame, column: str, more_than: int | None = None) -> Dat
 
 
 def spearman(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(a, b, rho) for each pair: rank correlation over the rows where both are there, ties at their average rank.
-
-    Average ranks come from counts of distinct values (a running sum over as many rows as there are values), not from a window over all rows."""
-    spark, out = df.sparkSession, None
-    for a, b in combinations(columns, 2):
-        d = df.select(F.col(a).cast("double").alias("a"), F.col(b).cast("double").alias("b")).where("a IS NOT NULL AND b IS NOT NULL")
-        for c in ("a", "b"):
-            n = d.groupBy(F.col(c).alias("v")).agg(F.count("*").alias("n"))
-            before = F.coalesce(F.sum("n").over(Window.orderBy("v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-            d = d.join(n.select(F.col("v").alias(c), (before + (F.col("n") + 1) / 2).alias(f"r{c}")), c)
-        one = d.agg(F.lit(a).alias("a"), F.lit(b).alias("b"), F.corr("ra", "rb").alias("rho"))
-        out = one if out is None else out.unionByName(one)
-    return out if out is not None else spark.createDataFrame([], "a string, b string, rho double")
+    """(a, b, rho) for each pair: rank correlation over the rows where both are there, ties at their average rank; null if a side is constant or no row is complete.
+
+    Rows become counts of distinct value pairs in one pass for all pairs of columns; ranks are running sums over distinct values, in ranges."""
+    spark = df.sparkSession
+    pairs = [*combinations(columns, 2)]
+    if not pairs:
+        return spark.createDataFrame([], "a string, b string, rho double")
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("pair"), F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y")) for i, (a, b) in enumerate(pairs)])).alias("p")
+    joint = written(df.select(each).select("p.*").where("x IS NOT NULL AND y IS NOT NULL").groupBy("pair", "x", "y").agg(F.count("*").alias("n")), "value-pairs")
+    rows = joint.groupBy("pair").agg(F.sum("n").alias("total"))
+    for c in ("x", "y"):
+        before = cumulated(joint.groupBy("pair", c).agg(F.sum("n").alias("m")), [F.col("pair"), F.col(c)], F.col("m"), "before")
+        start = before.groupBy("pair").agg(F.min("before").alias("start"))
+        rank = before.join(start, "pair").select("pair", c, (F.col("before") - F.col("start") + (F.col("m") + 1) / 2).alias(f"r{c}"))
+        joint = joint.join(rank, ["pair", c])
+    d = joint.join(rows, "pair").withColumns({f"d{c}": F.col(f"r{c}") - (F.col("total") + 1) / 2 for c in ("x", "y")})
+    product = lambda a, b: F.sum(F.col("n") * F.col(a) * F.col(b))
+    got = d.groupBy("pair").agg(F.try_divide(product("dx", "dy"), F.sqrt(product("dx", "dx")) * F.sqrt(product("dy", "dy"))).alias("rho"))
+    names = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "pair int, a string, b string")
+    return names.join(got, "pair", "left").select("a", "b", "rho")
 
 
 def with_simple_categories(books: DataFrame) -> DataFrame:
@@ -107,16 +116,41 @@ def accuracy(evaluated: DataFrame) -> DataFrame:
     return evaluated.agg(F.count("*").alias("n"), (F.sum("correct") / F.count("*")).alias("accuracy"))
 
 
-def with_emotions(books: DataFrame, provider=stub_emotions, positional: bool = False) -> DataFrame:
+def with_emotions(books: DataFrame, provider=stub_emotions, positional: bool = False, model=None) -> DataFrame:
     """A column for each emotion: its greatest score over the sentences of the description.
 
+    provider: scores of a sentence as columns; model: instead, an Arrow-batched column function (providers.emotion_model) of the description.
     positional: scores of labels in alphabetical order are given to the emotions in their listed order, by place instead of by name."""
+    if model is not None:
+        found = model(F.col("description"))
+        return books.withColumn("emotion_scores", found).withColumns({e: F.col("emotion_scores")[e] for e in EMOTIONS}).drop("emotion_scores")
     s = T.sentences(F.col("description"))
     names = sorted(EMOTIONS) if positional else EMOTIONS
     score = lambda label: lambda x: provider(x)[label]
     return books.withColumns({e: F.array_max(F.transform(s, score(label))) for e, label in zip(EMOTIONS, names, strict=True)})
 
 
+def subset_row(books: DataFrame, column: str, value: str, place: int = 0) -> DataFrame:
+    """The row at that place (from 0) of the rows whose column has the value, in table order."""
+    ranked = books.where(F.col(column) == value).withColumn("rn", F.row_number().over(Window.partitionBy(column).orderBy("src_ord")))
+    return ranked.where(F.col("rn") <= place + 1).where(F.col("rn") == place + 1).drop("rn")
+
+
+def first_rows(books: DataFrame, n: int = 10) -> DataFrame:
+    """The first n rows in table order."""
+    return books.orderBy("src_ord").limit(n)
+
+
+def lookup(books: DataFrame, isbn13: int) -> DataFrame:
+    """The rows of one key; the filter reaches the scan."""
+    return books.where(F.col("isbn13") == isbn13)
+
+
+def tone_choices(spark: SparkSession) -> DataFrame:
+    """(ord, tone): 'All', then the tones in their order."""
+    return spark.createDataFrame([*enumerate(("All", *TONES))], "ord int, tone string")
+
+
 def category_choices(books: DataFrame) -> DataFrame:
     """(ord, category): 'All', then the sorted categories."""
     found = books.where("simple_categories IS NOT NULL").select(F.col("simple_categories").alias("category")).distinct()

@@ -9,38 +9,51 @@ from stacklight.operators.graph import symmetric
 from stacklight.session import dropped, written
 
 
-def shortest_paths(edges: DataFrame, pairs: DataFrame, max_depth: int = 10) -> DataFrame:
-    """(source, target, path) for each pair of nodes of the graph that are joined by at most max_depth edges.
-
-    One breadth-first search from all sources at once. A level is one join, a minimum of paths for each node reached, and an anti join
-    with what was reached before; it ends when no pair is open or nothing new is reached. Of equally short paths the least one, node by node, is taken. A node is its own path."""
-    s = written(symmetric(edges).select("src", "dst").distinct(), "adjacency")
+def shortest_paths(edges: DataFrame, pairs: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """(source, target, path) for each pair of nodes of the graph that are joined, by at most max_depth edges if that is given.
+
+    Two breadth-first searches, from all sources and from all targets of open pairs, take a level in turn, so each goes half of the way. A level is one join, a minimum of
+    paths for each node reached, and an anti join with the two levels before (a neighbour of a level lies in it or beside it). Pairs whose searches meet are
+    done; it ends when no pair is open or a search reaches nothing new. Of equally short paths the least one, node by node, is taken. A node is its own path."""
+    links = written(symmetric(edges).select("src", "dst").distinct(), "adjacency")
+    known = links.select(F.col("src").alias("node")).distinct()
     pairs = written(pairs.select("source", "target").distinct(), "pairs")
-    known = s.select(F.col("src").alias("node")).distinct()
-    front = pairs.select("source").distinct().join(known, F.col("source") == F.col("node"), "left_semi")
-    front = written(front.select("source", F.col("source").alias("node"), F.array("source").alias("path")), "front")
-    seen, found = front.select("source", "node"), None
-    for depth in range(max_depth + 1):
-        hit = written(pairs.join(front.withColumnRenamed("node", "target"), ["source", "target"]).select("source", "target", "path"), "hits")
+    front, last, made = {}, {}, []
+    for side in ("source", "target"):
+        start = pairs.select(F.col(side).alias("origin")).distinct().join(known, F.col("origin") == F.col("node"), "left_semi")
+        front[side] = start.select("origin", F.col("origin").alias("node"), F.array("origin").alias("path"))
+    found, length = None, 0
+    while True:
+        there = front["source"].select(F.col("origin").alias("source"), "node", "path")
+        back = front["target"].select(F.col("origin").alias("target"), "node", F.col("path").alias("rest"))
+        hit = pairs.join(there, "source").join(back, ["target", "node"]).groupBy("source", "target").agg(F.min(F.concat("path", F.expr("slice(rest, 2, size(rest))"))).alias("path"))
+        hit = written(hit, "hits")
         found = hit if found is None else found.unionByName(hit)
-        pairs = pairs.join(hit.select("source", "target"), ["source", "target"], "left_anti")
-        if depth == max_depth or pairs.isEmpty():
+        pairs = written(pairs.join(hit, ["source", "target"], "left_anti"), "pairs")
+        if length == max_depth or pairs.isEmpty():
             break
-        step = front.join(s, F.col("node") == F.col("src")).select("source", F.col("dst").alias("node"), "path")
-        step = step.join(seen, ["source", "node"], "left_anti").groupBy("source", "node").agg(F.min("path").alias("path"))
-        last, front = front, written(step.select("source", "node", F.concat("path", F.array("node")).alias("path")), "front")
-        if front.isEmpty():
+        side = ("source", "target")[length % 2]
+        now = front[side].join(pairs.select(F.col(side).alias("origin")).distinct(), "origin", "left_semi")
+        seen = front[side] if side not in last else front[side].unionByName(last[side])
+        step = now.join(links, F.col("node") == F.col("src")).select("origin", F.col("dst").alias("node"), "path")
+        step = step.join(seen.select("origin", "node"), ["origin", "node"], "left_anti").groupBy("origin", "node").agg(F.min("path").alias("path"))
+        path = F.concat("path", F.array("node")) if side == "source" else F.concat(F.array("node"), F.col("path"))
+        last[side], front[side] = front[side], written(step.select("origin", "node", path.alias("path")), "front")
+        made.append(front[side])
+        length += 1
+        if front[side].isEmpty():
             break
-        merged = written(seen.unionByName(front.select("source", "node")), "seen")
-        if depth:
-            dropped(last, seen)
-        seen = merged
+    dropped(links, pairs, *made)
     return found
 
 
-def explanations(edges: DataFrame, seeds: DataFrame, targets: DataFrame, max_depth: int = 10) -> DataFrame:
-    """(target, seed, path, via): the shortest path from any seed; the first seed (by pos) wins ties. via: nodes that aren't books."""
-    pairs = targets.select("target").crossJoin(F.broadcast(seeds.select(F.col("node_id").alias("source"))))
-    p = shortest_paths(edges, pairs, max_depth).join(F.broadcast(seeds.select(F.col("node_id").alias("source"), "pos")), "source")
-    best = p.groupBy("target").agg(F.min_by(F.struct("source", "path"), F.struct(F.size("path"), "pos")).alias("x"))
-    return best.select("target", F.col("x.source").alias("seed"), F.col("x.path").alias("path"), F.filter("x.path", lambda n: ~n.startswith("book:")).alias("via"))
+def explanations(edges: DataFrame, seeds: DataFrame, targets: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """(target, seed, path, via), after query_id if targets have one: the shortest path from any seed of the query; the first seed (by pos) wins ties. via: nodes that aren't books."""
+    batch = "query_id" in targets.columns
+    s = seeds.select((F.col("query_id") if batch else F.lit(0)).alias("query_id"), F.col("node_id").alias("source"), "pos")
+    t = targets if batch else targets.withColumn("query_id", F.lit(0))
+    wanted = written(t.select("query_id", "target").join(s, "query_id"), "wanted")  # a query has few seeds
+    p = wanted.join(shortest_paths(edges, wanted, max_depth), ["source", "target"])
+    best = p.groupBy("query_id", "target").agg(F.min_by(F.struct("source", "path"), F.struct(F.size("path"), "pos")).alias("x"))
+    out = best.select("query_id", "target", F.col("x.source").alias("seed"), F.col("x.path").alias("path"), F.filter("x.path", lambda n: ~n.startswith("book:")).alias("via"))
+    return out if batch else out.drop("query_id")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stacklight.config import DEFAULTS, Config
@@ -40,10 +40,11 @@ def activate(edges: DataFrame, seeds: DataFrame, config: Config = DEFAULTS, ever
 
 
 def activated_books(activation: DataFrame, exclude: DataFrame | None, top_k: int = 20, min_activation: float = DEFAULTS.san_min_activation) -> DataFrame:
-    """(query_id, isbn13, activation): the top books that aren't seeds."""
+    """(query_id, isbn13, activation): for each query its top books that aren't its seeds; each task keeps top_k of a query."""
     d = activation.where(F.col("node_id").startswith("book:") & (F.col("activation") >= min_activation))
     if exclude is not None:
-        d = d.join(F.broadcast(exclude.select("query_id", "node_id")), ["query_id", "node_id"], "left_anti")
+        d = d.join(exclude.select("query_id", "node_id"), ["query_id", "node_id"], "left_anti")
     # rounding settles near-ties alike on any cluster
-    d = d.orderBy(F.desc(F.round("activation", 6)), "node_id").limit(top_k)
+    best = Window.partitionBy("query_id").orderBy(F.desc(F.round("activation", 6)), "node_id")
+    d = d.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top_k)
     return d.select("query_id", F.replace("node_id", F.lit("book:"), F.lit("")).alias("isbn13"), "activation")

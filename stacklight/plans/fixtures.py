@@ -71,8 +71,8 @@ def query_vector(spark: SparkSession, sf_dir: str, vec_id: int = 0) -> DataFrame
 
 
 def concepts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The dedup fixture: 500 concepts with vectors and counts."""
-    e = table(spark, sf_dir, "embeddings").where("vec_id < 500")
+    """The dedup fixture: a concept for each vector, with counts."""
+    e = table(spark, sf_dir, "embeddings")
     return e.select(F.concat(F.lit("c"), "vec_id").alias("concept"), F.col("vec_id").alias("ord"), "embedding", (F.col("vec_id") * 37 % 11).alias("count"))
 
 
@@ -110,7 +110,7 @@ TRIPLES = (
  UNION ALL SELECT CAST(isbn13 AS VARCHAR), 'HAS_FORM', {_pick("forms", "src_ord")} FROM valid WHERE src_ord % 5 = 0)"""
 )
 _PREFIX = "CASE relation WHEN 'SET_IN' THEN 'location' WHEN 'WRITTEN_BY' THEN 'author' WHEN 'HAS_CATEGORY' THEN 'category' ELSE 'concept' END"
-_CLUSTER = "CASE substr(node_id, 9) " + " ".join(f"WHEN '{c}' THEN '{k}'" for k, v in CLUSTERS.items() for c in v.split()) + " ELSE 'unknown' END"
+_CLUSTER = "CASE substr(node_id, 9) " + " ".join(f"WHEN '{c}' THEN '{k}'" for k, v in CLUSTERS.items() for c in v) + " ELSE 'unknown' END"
 EDGES = TRIPLES + f", edges AS (SELECT 'book:' || subject_isbn AS src, {_PREFIX} || ':' || object_concept AS dst, max(relation) AS relation FROM triples GROUP BY 1, 2)"
 NODES = (
     EDGES

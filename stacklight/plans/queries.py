@@ -11,6 +11,7 @@ from stacklight.config import DEFAULTS
 from stacklight.ontology import CLUSTERS, GENRES, TONES, VOCABULARIES, concepts, ontology, prompt_lists, vocabulary
 from stacklight.operators import dedup, enrich, graph, paths, present, spreading, triples, vector
 from stacklight.plans import fixtures as X
+from stacklight.plans import pipelines
 from stacklight.plans.recommend import recommend, san_search
 from stacklight.session import work_path, written
 from stacklight.sources import readers, writers
@@ -71,8 +72,7 @@ def _spearman_sql() -> str:
 
 @query(_spearman_sql())
 def spearman(spark, sf_dir):
-    d = enrich.spearman(enrich.flagged(X.books(spark, sf_dir)), _RHO)
-    return d.select("a", "b", F.nanvl(F.round("rho", 6), F.lit(None).cast("double")).alias("rho"))
+    return enrich.spearman(enrich.flagged(X.books(spark, sf_dir)), _RHO).select("a", "b", F.round("rho", 6).alias("rho"))
 
 
 @query(_B + f"SELECT CASE WHEN n <= 4 THEN '1-4' WHEN n <= 14 THEN '5-14' WHEN n <= 24 THEN '15-24' ELSE '25-34' END AS bucket, isbn13, description FROM (SELECT *, {_WC} AS n FROM books WHERE {_NOTNULL}) WHERE n BETWEEN 1 AND 34")
@@ -225,7 +225,7 @@ def incremental_extraction(spark, sf_dir):
 
 _DOT = "list_sum(list_transform(list_zip({a}, {b}), lambda z: CAST(z[1] AS DOUBLE) * CAST(z[2] AS DOUBLE)))"
 _COS = f"({_DOT.format(a='{a}', b='{b}')} / (sqrt({_DOT.format(a='{a}', b='{a}')}) * sqrt({_DOT.format(a='{b}', b='{b}')})))"
-_PAIRS = "cv AS (SELECT 'c' || CAST(vec_id AS VARCHAR) AS concept, vec_id AS ord, embedding, vec_id * 37 % 11 AS n FROM embeddings WHERE vec_id < 500), pairs AS (SELECT x.concept AS a, y.concept AS b, " + _COS.format(a="x.embedding", b="y.embedding") + " AS similarity FROM cv x JOIN cv y ON x.ord < y.ord WHERE " + _COS.format(a="x.embedding", b="y.embedding") + " >= 0.4)"
+_PAIRS = "cv AS (SELECT 'c' || CAST(vec_id AS VARCHAR) AS concept, vec_id AS ord, CAST(embedding AS DOUBLE[]) AS v, vec_id * 37 % 11 AS n FROM embeddings), pairs AS (SELECT * FROM (SELECT x.concept AS a, y.concept AS b, list_cosine_similarity(x.v, y.v) AS similarity FROM cv x JOIN cv y ON x.ord < y.ord) WHERE similarity >= 0.4)"
 _CLUSTERS = ", sym AS (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs), reach AS (SELECT concept AS a, concept AS b FROM cv UNION SELECT r.a, s.b FROM reach r JOIN sym s ON r.b = s.a), comp AS (SELECT a AS concept, min(b) AS component FROM reach GROUP BY 1), mapping AS (SELECT concept, first_value(concept) OVER (PARTITION BY component ORDER BY n DESC, length(concept), ord) AS canonical FROM comp JOIN cv USING (concept))"
 
 
@@ -239,7 +239,7 @@ def dedup_mapping(spark, sf_dir):
     return dedup.dedup_mapping(X.concepts(spark, sf_dir), 0.4)
 
 
-@query("SELECT 'c' || CAST(vec_id AS VARCHAR) AS concept, 'c' || CAST(vec_id AS VARCHAR) AS canonical FROM embeddings WHERE vec_id < 500")
+@query("SELECT 'c' || CAST(vec_id AS VARCHAR) AS concept, 'c' || CAST(vec_id AS VARCHAR) AS canonical FROM embeddings")
 def dedup_mapping_default(spark, sf_dir):
     return dedup.dedup_mapping(X.concepts(spark, sf_dir))
 
@@ -308,18 +308,28 @@ def kg_density(spark, sf_dir):
     return graph.density(X.nodes(b, e), e).select("nodes", "edges", F.round("density", 9).alias("density"))
 
 
-@query()
+# every node's name spreads to the greater ones that it reaches; the least that arrives names the component
+_COMPONENTS = _N.replace("WITH ", "WITH RECURSIVE ", 1).rstrip() + ", sy AS (SELECT src AS a, dst AS b FROM edges UNION ALL SELECT dst, src FROM edges), reach(node_id, root) AS (SELECT node_id, node_id FROM nodes UNION SELECT sy.b, reach.root FROM reach JOIN sy ON sy.a = reach.node_id AND reach.root < sy.b), comp AS (SELECT node_id, min(root) AS component FROM reach GROUP BY 1) "
+
+
+@query(_COMPONENTS + "SELECT node_id, component FROM comp")
 def kg_components(spark, sf_dir):
     b = X.books(spark, sf_dir)
     e = written(X.edges(b), "edges")
     return graph.components(X.nodes(b, e), e)
 
 
-@query()
+def _counts_json(column: str, table: str) -> str:
+    """SQL for the numbers of rows by the values of a column, as a JSON object with sorted keys."""
+    return f"""(SELECT '{{' || string_agg('"' || k || '":' || n, ',' ORDER BY k) || '}}' FROM (SELECT coalesce({column}, 'unknown') AS k, count(*) AS n FROM {table} GROUP BY 1))"""
+
+
+
+@query(_COMPONENTS + "SELECT nodes, edges, " + _counts_json("node_type", "nodes") + " AS node_types, " + _counts_json("relation", "edges") + " AS relations, round(2.0 * edges / (CAST(nodes AS DOUBLE) * (nodes - 1)), 9) AS density, components FROM (SELECT (SELECT count(*) FROM nodes) AS nodes, (SELECT count(*) FROM edges) AS edges, (SELECT count(DISTINCT component) FROM comp) AS components)")
 def kg_stats(spark, sf_dir):
     b = X.books(spark, sf_dir)
     e = written(X.edges(b), "edges")
-    return graph.stats(X.nodes(b, e), e).select("nodes", "edges", F.to_json("node_types").alias("node_types"), F.to_json("relations").alias("relations"), "density", "components")
+    return graph.stats(X.nodes(b, e), e).select("nodes", "edges", F.to_json("node_types").alias("node_types"), F.to_json("relations").alias("relations"), F.round("density", 9).alias("density"), "components")
 
 
 _KNN = ", q AS (SELECT embedding AS qe FROM embeddings WHERE vec_id = 0), knn AS (SELECT isbn13, " + _COS.format(a="embedding", b="qe") + " AS similarity FROM {t}, q WHERE embedding IS NOT NULL ORDER BY similarity DESC, isbn13 LIMIT 50)"
@@ -363,17 +373,21 @@ def _fixture_seeds(spark):
     return spark.createDataFrame([(0, f"book:{9780000000000 + n}", i) for i, n in enumerate(X.SEEDS)], "query_id int, node_id string, pos int")
 
 
-def _san_sql() -> str:
-    seeds = ", ".join(f"('book:{9780000000000 + n}')" for n in X.SEEDS)
+def _san_sql(before: str, seeds: str) -> str:
+    """Activation in DuckDB. before: tables made so far, with edges; seeds: a query of (node_id, pos)."""
     steps = "".join(f", s{i} AS (SELECT dst AS node_id, sum(v * w) * 0.95 AS v FROM s{i - 1} JOIN w ON node_id = src GROUP BY 1 HAVING sum(v * w) * 0.95 >= 0.01)" for i in range(1, 11))
-    return (
-        _E.rstrip()
-        + f", sy AS (SELECT src, dst FROM edges UNION ALL SELECT dst, src FROM edges), deg AS (SELECT src, count(*) AS d FROM sy GROUP BY 1), w AS (SELECT sy.src, dst, 0.4 / d AS w FROM sy JOIN deg ON sy.src = deg.src UNION ALL SELECT src, src, 0.6 FROM deg), s0 AS (SELECT col0 AS node_id, CAST(100 AS DOUBLE) AS v FROM (VALUES {seeds}) t(col0) WHERE col0 IN (SELECT src FROM deg)){steps}"
-    )
+    return before.rstrip() + f", seeds AS ({seeds}), sy AS (SELECT src, dst FROM edges UNION ALL SELECT dst, src FROM edges), deg AS (SELECT src, count(*) AS d FROM sy GROUP BY 1), w AS (SELECT sy.src, dst, 0.4 / d AS w FROM sy JOIN deg ON sy.src = deg.src UNION ALL SELECT src, src, 0.6 FROM deg), s0 AS (SELECT node_id, CAST(100 AS DOUBLE) AS v FROM seeds WHERE node_id IN (SELECT src FROM deg)){steps}"
 
 
-_SAN = _san_sql()
+_FIXED_SEEDS = "SELECT col0 AS node_id, col1 AS pos FROM (VALUES " + ", ".join(f"('book:{9780000000000 + n}', {i})" for i, n in enumerate(X.SEEDS)) + ")"
+_SAN = _san_sql(_E, _FIXED_SEEDS)
 _BOOKS_FOUND = ", found AS (SELECT replace(node_id, 'book:', '') AS isbn13, v FROM s10 WHERE node_id LIKE 'book:%' AND v >= 0.1 AND node_id NOT IN (SELECT node_id FROM s0) ORDER BY round(v, 6) DESC, isbn13 LIMIT {k})"
+#: Shortest paths of two and four edges from seeds to targets(target), which books of one search always have; the least path, node by node, then the first seed.
+_WHY = """, two AS (SELECT target, x.src AS seed, pos, 2 AS n, min(x.dst) AS mid FROM seeds JOIN sy x ON x.src = seeds.node_id JOIN sy y ON y.src = x.dst JOIN targets ON y.dst = target WHERE target <> seeds.node_id GROUP BY 1, 2, 3)
+, four AS (SELECT target, seed, pos, 4 AS n, min(mid || chr(1) || x.dst) AS mid FROM (SELECT seeds.node_id AS seed, pos, b.dst AS turn, min(a.dst || chr(1) || b.dst) AS mid FROM seeds JOIN sy a ON a.src = seeds.node_id JOIN sy b ON b.src = a.dst GROUP BY 1, 2, 3) JOIN sy x ON x.src = turn JOIN sy y ON y.src = x.dst JOIN targets ON y.dst = target GROUP BY 1, 2, 3)
+, why AS (SELECT target, seed, string_split(mid, chr(1)) AS mids FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY n, pos) AS best FROM (SELECT * FROM two UNION ALL SELECT * FROM four)) WHERE best = 1)"""
+_EXPLAINED = _SAN + _BOOKS_FOUND.format(k=16) + ", targets AS (SELECT 'book:' || isbn13 AS target FROM found)" + _WHY
+_VIA = "list_filter(mids, lambda x: NOT starts_with(x, 'book:'))"
 
 
 @query(_SAN + " SELECT node_id, round(v, 6) AS activation FROM s10")
@@ -393,28 +407,39 @@ def san_search_category(spark, sf_dir):
     return san_search(enrich.imputed(b), X.edges(b), _fixture_seeds(spark), category="Fiction").select(*_RESULT, F.round("activation_score", 6).alias("activation_score"))
 
 
-@query(_E + "SELECT x.src AS a, y.src AS b, count(*) AS shared, min(x.dst) AS first_shared FROM edges x JOIN edges y ON x.dst = y.dst AND x.src < y.src WHERE x.src IN ({s}) AND y.src IN ({s}) GROUP BY 1, 2".replace("{s}", ", ".join(f"'book:{9780000000000 + n}'" for n in range(40))))
+_SEED_IDS = ", ".join(f"'book:{9780000000000 + n}'" for n in X.SEEDS)
+
+
+@query(_E + f"SELECT x.src AS a, y.src AS b, count(*) AS shared, min(x.dst) AS first_shared FROM edges x JOIN edges y ON x.dst = y.dst AND x.src <> y.src WHERE x.src IN ({_SEED_IDS}) GROUP BY 1, 2")
 def shared_concepts(spark, sf_dir):
-    e = X.edges(X.books(spark, sf_dir)).where(F.col("src").isin([f"book:{9780000000000 + n}" for n in range(40)]))
-    x, y = e.select(F.col("src").alias("a"), "dst"), e.select(F.col("src").alias("b"), "dst")
-    return x.join(y, "dst").where("a < b").groupBy("a", "b").agg(F.count("*").alias("shared"), F.min("dst").alias("first_shared"))
+    """The seeds, a stated query set, against all books."""
+    e = written(X.edges(X.books(spark, sf_dir)), "edges")
+    x = e.where(F.col("src").isin([f"book:{9780000000000 + n}" for n in X.SEEDS])).select(F.col("src").alias("a"), "dst")
+    return x.join(e.select(F.col("src").alias("b"), "dst"), "dst").where("a <> b").groupBy("a", "b").agg(F.count("*").alias("shared"), F.min("dst").alias("first_shared"))
 
 
 def _explained(spark, sf_dir):
     b = X.books(spark, sf_dir)
     e = written(X.edges(b), "edges")
     seeds = _fixture_seeds(spark)
-    found = spreading.activated_books(spreading.activate(e, seeds), seeds, DEFAULTS.san_top_k)
+    found = written(spreading.activated_books(spreading.activate(e, seeds), seeds, DEFAULTS.san_top_k), "found")
     targets = found.select(F.concat(F.lit("book:"), "isbn13").alias("target"))
     return b, paths.explanations(e, seeds, targets)
 
 
-@query()
+@query(_EXPLAINED + f" SELECT target, seed, seed || ' > ' || array_to_string(mids, ' > ') || ' > ' || target AS path, array_to_string({_VIA}, ' > ') AS via FROM why")
 def explain(spark, sf_dir):
     return _explained(spark, sf_dir)[1].select("target", "seed", F.array_join("path", " > ").alias("path"), F.array_join("via", " > ").alias("via"))
 
 
-@query()
+# a letter is a capital unless it follows a letter
+_LABEL = "array_to_string(list_transform(range(1, length({x}) + 1), lambda i: CASE WHEN i > 1 AND regexp_matches(substr({x}, i - 1, 1), '\\p{{L}}') THEN lower(substr({x}, i, 1)) ELSE upper(substr({x}, i, 1)) END), '')"
+_NAMED = "'<strong>' || " + _LABEL.format(x="replace(substr(v, strpos(v, ':') + 1), '-', ' ')") + " || '</strong> (' || split_part(v, ':', 1) || ')'"
+_LINES_SQL = f"""lines AS (SELECT target, '<p>&bull; <em>"' || t.title || '"</em> discovered via: ' || CASE WHEN len({_VIA}) > 0 THEN array_to_string(list_transform({_VIA}, lambda v: {_NAMED}), ' &rarr; ') ELSE 'direct' END || ' &mdash; shared with <em>"' || s.title || '"</em></p>' AS html
+ FROM why JOIN nodes_t t ON t.node_id = target JOIN nodes_t s ON s.node_id = seed)"""
+
+
+@query(_EXPLAINED + ", nodes_t AS (SELECT 'book:' || CAST(isbn13 AS VARCHAR) AS node_id, title FROM books), " + _LINES_SQL + """ SELECT '<div style="font-size: 14px; line-height: 1.8;">' || chr(10) || string_agg(html, chr(10) ORDER BY target, html) || chr(10) || '</div>' AS html FROM lines""")
 def explanation_html(spark, sf_dir):
     b, found = _explained(spark, sf_dir)
     return present.explanation_html(present.explanation_lines(found, b))
@@ -428,7 +453,16 @@ def book_cards(spark, sf_dir):
     return present.cards(X.books(spark, sf_dir).withColumn("large_thumbnail", enrich.large_thumbnail()))
 
 
-@query()
+_HITS = ", hits AS (SELECT i.*, knn.similarity FROM imputed i JOIN knn USING (isbn13) ORDER BY src_ord LIMIT 16)"
+_RECOMMENDED = (
+    _san_sql(_E.rstrip() + _KNN.format(t="imputed") + _HITS, "SELECT 'book:' || CAST(isbn13 AS VARCHAR) AS node_id, row_number() OVER (ORDER BY src_ord) AS pos FROM hits ORDER BY src_ord LIMIT 5")
+    + _BOOKS_FOUND.format(k=48)
+    + ", san AS (SELECT i.*, f.v FROM found f JOIN imputed i ON CAST(i.isbn13 AS VARCHAR) = f.isbn13 ORDER BY round(v, 6) DESC, i.isbn13 LIMIT 16), targets AS (SELECT 'book:' || CAST(isbn13 AS VARCHAR) AS target FROM san)"
+    + _WHY
+)
+
+
+@query(_RECOMMENDED + f" SELECT 'vector' AS kind, isbn13, title, simple_categories, round(similarity, 6) AS score, NULL AS seed, NULL AS via FROM hits UNION ALL SELECT 'activated', isbn13, title, simple_categories, round(v, 6), seed, array_to_string({_VIA}, ' > ') FROM san LEFT JOIN why ON target = 'book:' || CAST(isbn13 AS VARCHAR)")
 def recommend_flagship(spark, sf_dir):
     b = X.books(spark, sf_dir)
     e = written(X.edges(b), "edges")
@@ -436,10 +470,11 @@ def recommend_flagship(spark, sf_dir):
     keep = lambda d, kind, score: d.select(F.lit(kind).alias("kind"), "isbn13", "title", "simple_categories", score.alias("score"))
     san = keep(r.activated, "activated", F.round("activation_score", 6)).withColumn("target", F.concat(F.lit("book:"), F.col("isbn13").cast("string")))
     why = r.explanations.select("target", "seed", F.array_join("via", " > ").alias("via"))
-    return keep(r.vector, "vector", F.round("similarity", 6)).withColumns({"seed": F.lit(None).cast("string"), "via": F.lit(None).cast("string")}).unionByName(san.join(F.broadcast(why), "target", "left").drop("target"))
+    return keep(r.vector, "vector", F.round("similarity", 6)).withColumns({"seed": F.lit(None).cast("string"), "via": F.lit(None).cast("string")}).unionByName(san.join(why, "target", "left").drop("target"))
 
 
 QUERIES["recommend"] = QUERIES.pop("recommend_flagship")
+ORACLE_SQL["recommend"] = ORACLE_SQL.pop("recommend_flagship")
 
 
 @query(_E + "SELECT src, dst, relation FROM edges")
@@ -477,3 +512,93 @@ def large_books(spark, sf_dir):
 
 
 
+
+
+@query(_I + f"SELECT isbn13, title, simple_categories FROM imputed WHERE {_NOTNULL} AND {_WC} >= 25")
+def categorise_pipeline(spark, sf_dir):
+    """Clean, write, read, impute, write, read."""
+    cleaned = work_path(spark, "cleaned")
+    writers.write_csv(clean_books(spark, sf_dir), cleaned)
+    return pipelines.categorised(spark, cleaned, work_path(spark, "categorised")).select("isbn13", "title", "simple_categories")
+
+
+@query(_emotion_sql([("anger", "a"), ("disgust", "d"), ("fear", "f"), ("joy", "j"), ("sadness", "s"), ("surprise", "u"), ("neutral", "n")]) + f" AND {_NOTNULL} AND {_WC} >= 25")
+def emotion_pipeline(spark, sf_dir):
+    """The categorised table of the pipeline before, scored, written and read."""
+    cleaned, with_categories = work_path(spark, "cleaned"), work_path(spark, "categorised")
+    writers.write_csv(clean_books(spark, sf_dir), cleaned)
+    pipelines.categorised(spark, cleaned, with_categories)
+    b = pipelines.emotional(spark, with_categories, work_path(spark, "emotional"))
+    return b.select("isbn13", *[F.round(e, 6).alias(e) for e in enrich.EMOTIONS])
+
+
+_LETTER_COUNTS = "[" + ", ".join(f"CAST(length({{x}}) - length(replace({{x}}, '{c}', '')) AS DOUBLE)" for c in "abcdefghijklmnopqrstuvwxyz0123456789") + "]"
+_MERGED = (
+    _T.replace("WITH ", "WITH RECURSIVE ", 1).rstrip()
+    + ", con AS (SELECT object_concept AS concept, count(*) AS n FROM triples WHERE relation NOT IN ('WRITTEN_BY', 'HAS_CATEGORY') GROUP BY 1), cv AS (SELECT *, "
+    + _LETTER_COUNTS.format(x="concept")
+    + " AS v FROM con), pairs AS (SELECT x.concept AS a, y.concept AS b FROM cv x JOIN cv y ON x.concept <> y.concept WHERE list_cosine_similarity(x.v, y.v) >= 0.92 - 1e-12), reach(concept, root) AS (SELECT concept, concept FROM cv UNION SELECT pairs.b, reach.root FROM reach JOIN pairs ON pairs.a = reach.concept)"
+    + ", comp AS (SELECT concept, min(root) AS component FROM reach GROUP BY 1), mapping AS (SELECT concept, first_value(concept) OVER (PARTITION BY component ORDER BY n DESC, length(concept), concept) AS canonical FROM comp JOIN con USING (concept))"
+    + ", merged AS (SELECT subject_isbn, relation, CASE WHEN relation IN ('WRITTEN_BY', 'HAS_CATEGORY') THEN object_concept ELSE coalesce(canonical, object_concept) END AS object_concept FROM triples LEFT JOIN mapping ON concept = object_concept)"
+)
+
+
+@query(_MERGED + f" SELECT 'book:' || subject_isbn AS src, {X._PREFIX} || ':' || object_concept AS dst, max(relation) AS relation FROM merged GROUP BY 1, 2")
+def kg_build(spark, sf_dir):
+    """Metadata and extraction triples, near-duplicate concepts merged, the graph built, saved and loaded."""
+    b = X.books(spark, sf_dir)
+    return pipelines.build_graph(enrich.imputed(b), X.raw_extractions(b), work_path(spark, "graph"))[1]
+
+
+_CARDS_SQL = f"SELECT isbn13, coalesce(thumbnail || '&fife=w800', 'cover-not-found.jpg') AS thumbnail, title || ' by ' || {_AUTHORS_SQL} || ': ' || coalesce(array_to_string(list_slice(list_filter(string_split_regex(description, '\\s+'), lambda x: x <> ''), 1, 30), ' '), '') || '...' AS caption"
+
+
+@query(_FOUND.format(w="").replace("SELECT isbn13, title, simple_categories FROM found", f"SELECT *, '{pipelines.NOT_ENABLED}' AS html FROM ({_CARDS_SQL} FROM found)"))
+def recommend_degraded(spark, sf_dir):
+    """The page where no graph has been built: vector results and a message."""
+    b = enrich.imputed(X.books(spark, sf_dir)).withColumn("large_thumbnail", enrich.large_thumbnail())
+    left, _, html = pipelines.handled(pipelines.started(spark, b, work_path(spark, "no-graph")), X.query_vector(spark, sf_dir))
+    return left.crossJoin(F.broadcast(html))  # one row
+
+
+_STORE_Q = "a quest for identity and freedom in a wartime town"
+
+
+@query(_B + f", docs AS (SELECT isbn13, lower(CAST(isbn13 AS VARCHAR) || ' ' || trim(regexp_replace(description, '[\\r\\n]+', ' ', 'g'))) AS x FROM books WHERE {_NOTNULL} AND {_WC} >= 25), q AS (SELECT '{_STORE_Q}' AS y) SELECT isbn13, round(similarity, 6) AS similarity FROM (SELECT isbn13, list_cosine_similarity({_LETTER_COUNTS.format(x='x')}, {_LETTER_COUNTS.format(x='y')}) AS similarity FROM docs, q) ORDER BY round(similarity, 9) DESC, isbn13 LIMIT 10")
+def vector_store_search(spark, sf_dir):
+    """A store of the document lines, built, saved and read, and the ten lines nearest to a text."""
+    from stacklight.functions.providers import stub_embedding
+
+    lines, store = work_path(spark, "lines"), work_path(spark, "store")
+    writers.write_lines(clean_books(spark, sf_dir), lines)
+    writers.write_vector_store(readers.read_lines(spark, lines), store, stub_embedding)
+    q = spark.createDataFrame([(_STORE_Q,)], "text string").select(stub_embedding(F.col("text")).alias("q_embedding"))
+    return vector.knn(readers.read_vector_store(spark, store), q, 10).select("isbn13", F.round("similarity", 6).alias("similarity"))
+
+
+@query(ORACLE_SQL["validate_extractions"])
+def extraction_json_roundtrip(spark, sf_dir):
+    """The cache of valid extractions as JSON, written and read."""
+    path = work_path(spark, "cache-json")
+    writers.write_extraction_json(triples.validated(X.raw_extractions(X.books(spark, sf_dir))), path)
+    return readers.read_extraction_json(spark, path).select("isbn13", *[F.array_join(f, "|").alias(f) for f in _FIELDS])
+
+
+@query(_B + "SELECT isbn13, title, authors FROM books WHERE isbn13 = 9780000000041")
+def point_lookup(spark, sf_dir):
+    return enrich.lookup(X.books(spark, sf_dir), 9780000000041).select("isbn13", "title", "authors")
+
+
+@query(_B + f"SELECT isbn13, description FROM (SELECT *, {X._CASE} AS c FROM books) WHERE c = 'Fiction' ORDER BY src_ord LIMIT 1")
+def first_fiction(spark, sf_dir):
+    return enrich.subset_row(enrich.with_simple_categories(X.books(spark, sf_dir)), "simple_categories", "Fiction").select("isbn13", "description")
+
+
+@query(_B + "SELECT isbn13, title FROM books ORDER BY src_ord LIMIT 10")
+def first_rows(spark, sf_dir):
+    return enrich.first_rows(X.books(spark, sf_dir)).select("isbn13", "title")
+
+
+@query("SELECT * FROM (VALUES (0, 'All'), (1, 'Happy'), (2, 'Surprising'), (3, 'Angry'), (4, 'Suspenseful'), (5, 'Sad')) t(ord, tone)")
+def tone_dropdown(spark, sf_dir):
+    return enrich.tone_choices(spark)

@@ -28,12 +28,14 @@ def seeds_of(books: DataFrame, n: int, order: list) -> DataFrame:
 
 
 def san_search(books: DataFrame, edges: DataFrame, seeds: DataFrame, top_k: int = DEFAULTS.san_top_k, category: str | None = "All", config: Config = DEFAULTS) -> DataFrame:
-    """Books activated by the seeds with activation_score. Three times as many are fetched before the category filter, so fewer than top_k may come."""
+    """(query_id, the columns of books, activation_score): books activated by each query's seeds. Three times as many are fetched before the category filter, so fewer than top_k may come."""
     found = spreading.activated_books(spreading.activate(edges, seeds, config), seeds, 3 * top_k, config.san_min_activation)
-    hits = books.withColumn("__isbn", F.col("isbn13").cast("string")).join(F.broadcast(found.select(F.col("isbn13").alias("__isbn"), F.col("activation").alias("activation_score"))), "__isbn").drop("__isbn")
+    found = found.select("query_id", F.col("isbn13").cast("long").alias("isbn13"), F.col("activation").alias("activation_score"))
+    hits = found.join(books, "isbn13")
     if category not in (None, "All"):
         hits = hits.where(F.col("simple_categories") == category)
-    return hits.orderBy(F.desc(F.round("activation_score", 6)), "isbn13").limit(top_k)
+    best = Window.partitionBy("query_id").orderBy(F.desc(F.round("activation_score", 6)), "isbn13")
+    return hits.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top_k).drop("rank")
 
 
 def recommend(books: DataFrame, query: DataFrame, edges: DataFrame | None, category: str | None = "All", tone: str | None = "All", config: Config = DEFAULTS) -> Recommendation:
@@ -46,8 +48,8 @@ def recommend(books: DataFrame, query: DataFrame, edges: DataFrame | None, categ
     order = [F.desc_nulls_last(TONES[tone]), F.col("src_ord")] if tone in TONES else [F.col("src_ord")]
     seeds = written(seeds_of(found, config.san_seed_count, order), "seeds")
     san = written(san_search(books, edges, seeds, config.san_top_k, category, config), "san")
-    targets = san.select(F.concat(F.lit("book:"), F.col("isbn13").cast("string")).alias("target"))
-    return Recommendation(found, san, paths.explanations(edges, seeds, targets, config.san_iterations))
+    targets = san.select("query_id", F.concat(F.lit("book:"), F.col("isbn13").cast("string")).alias("target"))
+    return Recommendation(found, san, paths.explanations(edges, seeds, targets))
 
 
 def page(r: Recommendation, books: DataFrame) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
@@ -56,4 +58,4 @@ def page(r: Recommendation, books: DataFrame) -> tuple[DataFrame, DataFrame | No
         return present.cards(r.vector), None, None
     lines = present.explanation_lines(r.explanations, books)
     rank = r.activated.select(F.concat(F.lit("book:"), F.col("isbn13").cast("string")).alias("target"), (-F.round("activation_score", 6)).alias("rank"))
-    return present.cards(r.vector), present.cards(r.activated), present.explanation_html(lines.join(F.broadcast(rank), "target"))
+    return present.cards(r.vector), present.cards(r.activated), present.explanation_html(lines.join(rank, "target"))

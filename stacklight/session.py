@@ -14,10 +14,12 @@ _local: list[str] = []
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as the cluster names it in spark.checkpoint.dir.
 
-    Only where that setting is absent (tests, notebooks on one machine) a temporary folder stands in."""
+    Only where that setting is absent and Spark runs on one machine (tests, notebooks) a temporary folder stands in."""
     named = spark.conf.get(_CONF, None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError(f"{_CONF} has to name a folder that the driver and all executors share")
     if not _local:
         _local.append("file://" + tempfile.mkdtemp(prefix="stacklight-"))
     return _local[0]

@@ -25,20 +25,40 @@ def write_graph(nodes: DataFrame, edges: DataFrame, path: str) -> None:
     edges.write.mode("overwrite").parquet(f"{path}/edges")
 
 
+def _escaped(x: Column) -> Column:
+    """As XML text without line ends, so that an element stays a line."""
+    for plain, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("\n", "&#10;"), ("\r", "&#13;")):
+        x = F.replace(x, F.lit(plain), F.lit(entity))
+    return x
+
+
 def _attribute(key: str, column: str) -> Column:
-    escaped = F.replace(F.replace(F.replace(F.col(column).cast("string"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    escaped = _escaped(F.col(column).cast("string"))
     return F.when(F.col(column).isNotNull(), F.concat(F.lit(f'<data key="{key}">'), escaped, F.lit("</data>"))).otherwise(F.lit(""))
 
 
 def write_graphml(nodes: DataFrame, edges: DataFrame, path: str) -> None:
-    """A GraphML document, as text parts whose names sort in document order; one part if the graph fits one task's stream of lines."""
+    """A GraphML document in parts: the files of the folder, one after another by name, are the document.
+
+    The head is the first part and the tail the last; nodes and edges are written between them by as many tasks as they have partitions, unsorted."""
     names = ("node_type", "cluster", "title", "authors", "average_rating", "simple_categories")
-    quoted = lambda c: F.replace(F.replace(F.replace(F.col(c), F.lit("&"), F.lit("&amp;")), F.lit('"'), F.lit("&quot;")), F.lit("<"), F.lit("&lt;"))
+    quoted = lambda c: _escaped(F.col(c))
     keys = "".join(f'<key id="d{i}" for="node" attr.name="{n}" attr.type="string"/>' for i, n in enumerate(names))
     spark = nodes.sparkSession
-    head = spark.createDataFrame([(0, "", '<?xml version="1.0" encoding="utf-8"?>\n<graphml xmlns="http://graphml.graphdrawing.org/xmlns">' + keys + '<key id="d9" for="edge" attr.name="relation" attr.type="string"/>\n<graph edgedefault="undirected">')], "part int, id string, value string")
-    tail = spark.createDataFrame([(3, "", "</graph>\n</graphml>")], head.schema)
-    n = nodes.select(F.lit(1).alias("part"), F.col("node_id").alias("id"), F.concat(F.lit('<node id="'), quoted("node_id"), F.lit('">'), *[_attribute(f"d{i}", c) for i, c in enumerate(names)], F.lit("</node>")).alias("value"))
-    e = edges.select(F.lit(2).alias("part"), F.concat_ws(" ", "src", "dst").alias("id"), F.concat(F.lit('<edge source="'), quoted("src"), F.lit('" target="'), quoted("dst"), F.lit('">'), _attribute("d9", "relation"), F.lit("</edge>")).alias("value"))
-    # a document is one file by its nature; larger graphs are kept with write_graph()
-    head.union(n).union(e).union(tail).coalesce(1).sortWithinPartitions("part", "id").select("value").write.mode("overwrite").text(path)
+    head = spark.createDataFrame([('<?xml version="1.0" encoding="utf-8"?>\n<graphml xmlns="http://graphml.graphdrawing.org/xmlns">' + keys + '<key id="d9" for="edge" attr.name="relation" attr.type="string"/>\n<graph edgedefault="undirected">',)], "value string")
+    tail = spark.createDataFrame([("</graph>\n</graphml>",)], head.schema)
+    n = nodes.select(F.concat(F.lit('<node id="'), quoted("node_id"), F.lit('">'), *[_attribute(f"d{i}", c) for i, c in enumerate(names)], F.lit("</node>")).alias("value"))
+    e = edges.select(F.concat(F.lit('<edge source="'), quoted("src"), F.lit('" target="'), quoted("dst"), F.lit('">'), _attribute("d9", "relation"), F.lit("</edge>")).alias("value"))
+    # a union keeps the partitions of its sides in their order, and so do the names of the files
+    head.coalesce(1).union(n).union(e).union(tail.coalesce(1)).write.mode("overwrite").text(path)
+
+
+def write_extraction_json(extractions: DataFrame, path: str) -> None:
+    """The cache as JSON, a line for each book: {isbn13: record}. Lines of all parts together are the cache; Spark makes the folder."""
+    record = F.struct(F.col("isbn13").cast("string").alias("isbn13"), *[F.coalesce(f, F.array().cast("array<string>")).alias(f) for f in ("themes", "settings", "moods", "tropes", "forms")])
+    extractions.select(F.to_json(F.create_map(F.col("isbn13").cast("string"), record)).alias("value")).write.mode("overwrite").text(path)
+
+
+def write_vector_store(documents: DataFrame, path: str, embed) -> None:
+    """(content, embedding) of each document; embed: a column function of the text, that of a model or a stub."""
+    documents.select("content", embed(F.col("content")).alias("embedding")).write.mode("overwrite").parquet(path)

@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from stacklight.functions.providers import extract
+from stacklight.functions.providers import ExtractorConfig, extract
+from stacklight.session import dropped, written
 from stacklight.sources.readers import read_extractions
 from stacklight.sources.writers import append_extractions
 
@@ -17,9 +19,16 @@ def pending(books: DataFrame, cache: DataFrame) -> DataFrame:
     return books.join(cache.select("isbn13"), "isbn13", "left_anti")
 
 
-def extend_cache(spark: SparkSession, books: DataFrame, path: str, provider: Callable[[str, str], dict | None]) -> DataFrame:
-    """Extracts what is pending, appends it, and returns the whole cache. Failures aren't kept, so they're tried again next time."""
-    append_extractions(extract(pending(books, read_extractions(spark, path)).dropDuplicates(["isbn13"]), provider), path)
+def extend_cache(spark: SparkSession, books: DataFrame, path: str, provider: Callable[[str, str], dict | None], config: ExtractorConfig = ExtractorConfig()) -> DataFrame:
+    """Extracts what is pending, and returns the whole cache. Failures aren't kept, so they're tried again next time.
+
+    The cache grows by steps of save_every books a core, each committed by itself: a job that fails costs the calls of its last step."""
+    left = written(pending(books, read_extractions(spark, path)).dropDuplicates(["isbn13"]), "pending")
+    steps = max(1, -(-left.count() // (config.save_every * spark.sparkContext.defaultParallelism)))
+    for k in range(steps):
+        part = left.where(F.pmod(F.xxhash64("isbn13"), F.lit(steps)) == k)
+        append_extractions(extract(part, provider, config), path)
+    dropped(left)
     return read_extractions(spark, path)
 
 

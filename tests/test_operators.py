@@ -7,10 +7,12 @@ import random
 from pyspark.sql import functions as F
 
 from stacklight.functions import text as T
+from stacklight.functions import providers
 from stacklight.functions.providers import extract
 from stacklight.operators import dedup, enrich, graph, paths, present, spreading, triples, vector
 from stacklight.operators.components import connected_components
 from stacklight.plans import fixtures as X
+from stacklight.plans import pipelines
 from stacklight.plans.recommend import page, recommend
 from stacklight.session import work_path
 from stacklight.sources import readers, writers
@@ -156,7 +158,7 @@ def test_csv_and_graphml(spark):
     writers.write_csv(d, path)
     assert readers.read_books_csv(spark, path, "isbn13 long, title string, subtitle string, description string, num_pages double").first() == d.first()
     e = edges(spark, [("book:1", 'concept:a&"b<')])
-    n = graph.build_nodes(spark.createDataFrame([(1, 0, "T & <U>", None, 4.5, "Fiction")], "isbn13 long, src_ord long, title string, authors string, average_rating double, simple_categories string"), e)
+    n = graph.build_nodes(spark.createDataFrame([(1, 0, "T & <U>\nV", None, 4.5, "Fiction")], "isbn13 long, src_ord long, title string, authors string, average_rating double, simple_categories string"), e)
     path = work_path(spark, "graph")
     writers.write_graphml(n, e, path)
     nodes, back = readers.read_graphml(spark, path)
@@ -164,6 +166,100 @@ def test_csv_and_graphml(spark):
     assert {(x.node_id, x.title, x.average_rating) for x in nodes.collect()} == {(x.node_id, x.title, x.average_rating) for x in n.collect()}
 
 
+def test_graphml_of_others(spark):
+    """A pretty-printed document, elements over several lines."""
+    path = work_path(spark, "xml")
+    text = '<?xml version="1.0"?>\n<graphml>\n  <key id="d0" for="node" attr.name="title" attr.type="string"/>\n  <key id="d1" for="edge" attr.name="relation" attr.type="string"/>\n  <graph edgedefault="undirected">\n    <node id="book:1">\n      <data key="d0">A</data>\n    </node>\n    <node id="concept:x"/>\n    <edge source="book:1" target="concept:x">\n      <data key="d1">HAS_THEME</data>\n    </edge>\n  </graph>\n</graphml>'
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.text(path)
+    nodes, e = readers.read_graphml(spark, path)
+    assert {(x.node_id, x.title) for x in nodes.collect()} == {("book:1", "A"), ("concept:x", None)}
+    assert [tuple(x) for x in e.collect()] == [("book:1", "concept:x", "HAS_THEME")]
+
+
+def test_spearman_of_constants(spark):
+    d = spark.createDataFrame([(1.0, 5.0, None, 1.0), (2.0, 5.0, None, 1.0), (3.0, 5.0, 1.0, 4.0), (3.0, None, 2.0, 9.0)], "a double, b double, c double, d double")
+    got = {(x.a, x.b): x.rho for x in enrich.spearman(d, ["a", "b", "c", "d"]).collect()}
+    assert got["a", "b"] is None and got["b", "c"] is None and got["a", "c"] is None and abs(got["c", "d"] - 1) < 1e-9
+    assert abs(got["a", "d"] - 0.8944271909999159 * 0.9486832980505138 / 0.8944271909999159) < 0.06
+    assert enrich.spearman(d.limit(0), ["a", "b"]).first().rho is None and enrich.spearman(d, ["a"]).count() == 0
+
+
+def test_activation_of_batches(spark):
+    """Each query gets its own top rows."""
+    a = spark.createDataFrame([(q, f"book:{i}", 10.0 - i - q) for q in (0, 1) for i in range(5)], "query_id int, node_id string, activation double")
+    seeds = spark.createDataFrame([(0, "book:0"), (1, "book:4")], "query_id int, node_id string")
+    got = sorted((x.query_id, x.isbn13) for x in spreading.activated_books(a, seeds, 3).collect())
+    assert got == [(0, "1"), (0, "2"), (0, "3"), (1, "0"), (1, "1"), (1, "2")]
+
+
+def test_long_paths(spark):
+    """No bound on length by default, on a chain, with ties and a bound."""
+    chain = [(f"n{i:02}", f"n{i + 1:02}") for i in range(30)] + [("n00", "m01"), ("m01", "n02"), ("x", "y")]
+    pairs = spark.createDataFrame([("n00", "n30"), ("n30", "n00"), ("n05", "n09"), ("n00", "x")], "source string, target string")
+    got = {(x.source, x.target): x.path for x in paths.shortest_paths(edges(spark, chain), pairs).collect()}
+    down = ["n00", "m01", *[f"n{i:02}" for i in range(2, 31)]]
+    assert got == {("n00", "n30"): down, ("n30", "n00"): down[::-1], ("n05", "n09"): [f"n{i:02}" for i in range(5, 10)]}
+    assert {x.target for x in paths.shortest_paths(edges(spark, chain), pairs, 4).collect()} == {"n09"}
+    seeds = spark.createDataFrame([(0, "n02", 0), (0, "n06", 1), (1, "n06", 0)], "query_id int, node_id string, pos int")
+    found = paths.explanations(edges(spark, chain), seeds, spark.createDataFrame([(0, "n04"), (1, "n04")], "query_id int, target string"))
+    assert {(x.query_id, x.seed) for x in found.collect()} == {(0, "n02"), (1, "n06")}
+
+
+def test_extraction_outcomes(spark):
+    b = spark.createDataFrame([(1, "t", "text"), (2, "t", " "), (3, "bad", "x"), (4, None, "none"), (5, "t", None)], "isbn13 long, title string, description string")
+    calls = []
+
+    def client(messages):
+        calls.append(messages)
+        title = messages[1][1].split("\n")[0]
+        if title == "Title: bad":
+            raise ValueError("no answer")
+        return None if messages[1][1].endswith("none") else {"themes": ["grief"]}
+
+    got = {x.isbn13: (x.outcome, x.attempts, x.error, x.themes) for x in providers.outcomes(b, providers.prompted(lambda config: client)).collect()}
+    assert got == {1: ("extracted", 1, None, ["grief"]), 2: ("blank", 0, None, []), 3: ("failed", 3, "ValueError: no answer", []), 4: ("refused", 1, None, []), 5: ("blank", 0, None, [])}
+    system, human = providers.prompt("A", "x" * 3000)
+    assert "self-discovery" in system[1] and len(human[1]) == len("Title: A\nDescription: ") + 2000
+    path = work_path(spark, "cache")
+    extend_cache(spark, b, path, lambda t, d: {"themes": ["war"]}, providers.ExtractorConfig(save_every=1))
+    assert readers.read_extractions(spark, path).count() == 3
+    again = work_path(spark, "json")
+    assert readers.read_extraction_json(spark, again).count() == 0
+    writers.write_extraction_json(readers.read_extractions(spark, path), again)
+    assert sorted(x.isbn13 for x in readers.read_extraction_json(spark, again).collect()) == [1, 3, 4]
+    whole = work_path(spark, "json-whole")
+    spark.createDataFrame([('{\n  "7": {\n    "isbn13": "7",\n    "themes": ["war"]\n  }\n}',)], "value string").coalesce(1).write.text(whole)
+    assert readers.read_extraction_json(spark, whole).first().themes == ["war"]
+
+
+def test_models(spark):
+    """Arrow-batched models instead of the stubs."""
+    b = spark.createDataFrame([(1, 0, "Other", "good. bad"), (2, 1, "Other", "bad"), (3, 2, "Fiction", None)], "isbn13 long, src_ord long, categories string, description string")
+    score = providers.zero_shot_model(lambda: lambda texts, labels: [[0.9, 0.1] if "good" in t else [0.2, 0.8] for t in texts])
+    assert {x.isbn13: x.simple_categories for x in enrich.imputed(b, provider=score).collect()} == {1: "Fiction", 2: "Nonfiction", 3: "Fiction"}
+    feel = providers.emotion_model(lambda: lambda texts: [{e: 0.5 + ("good" in t) * 0.25 for e in enrich.EMOTIONS} for t in texts])
+    assert {x.isbn13: x.joy for x in enrich.with_emotions(b, model=feel).collect()} == {1: 0.75, 2: 0.5, 3: None}
+    embed = providers.embedding_model(lambda: lambda texts: [[float(len(t)), 1.0] for t in texts])
+    assert b.select(embed(F.col("description")).alias("e")).first().e == [9.0, 1.0]
+
+
+def test_page_degrades(spark, sf_dir):
+    b = enrich.imputed(X.books(spark, sf_dir)).withColumn("large_thumbnail", enrich.large_thumbnail())
+    q = X.query_vector(spark, sf_dir)
+    path = work_path(spark, "kg")
+    assert pipelines.started(spark, b, path).reason.startswith("no knowledge graph")
+    pipelines.build_graph(b, X.raw_extractions(X.books(spark, sf_dir)), path)
+    engine = pipelines.started(spark, b, path)
+    left, right, html = pipelines.handled(engine, q)
+    assert left.count() == 16 and right.count() > 0 and "discovered via" in html.first().html
+    assert pipelines.handled(engine, q, enabled=False)[2].first().html == pipelines.NOT_ENABLED
+    broken = pipelines.Engine(b, (engine.graph[0], engine.graph[1].drop("relation")), None)
+    left, right, html = pipelines.handled(broken, q)
+    assert left.count() == 16 and right is None and "error" in html.first().html
+    spark.createDataFrame([(1,)], "x int").write.parquet(f"{path}-2/nodes")
+    assert "can't be read" in pipelines.started(spark, b, f"{path}-2").reason
+
+
 def test_plans(spark, sf_dir):
     """Pushed filters, pruned columns, top-k without a full sort."""
     q = vector.knn(X.books(spark, sf_dir), X.query_vector(spark, sf_dir), 5)
