@@ -338,6 +338,39 @@ def test_html_mixed_host(spark):
     assert {x.page_id: x.text for x in html.main_texts(d).collect()} == want
 
 
+def test_html_template(spark):
+    """Classes against whole occurrence vectors; slots of a host without an article element, menus without a role, template text inside the article, roles that hold the text."""
+    menu = lambda i: "<ul>" + "".join(f"<li><a href='{i}-{j}'>link {i} {j}</a></li>" for j in range(2 + i % 3)) + "</ul>"
+    comments = lambda i: "".join(f"<div class='comment'><b>r{i}{j}</b></div>" for j in range(i % 3))
+    pages = []
+    for i in range(12):  # no article: the deepest container with most of the text
+        pages.append(("plain", f"<body><div id='top'>Site of ours</div>{menu(i)}<div class='c{i % 2}'><div id='post-{i}' class='form'><p>story {i} {'word ' * 40}</p>{comments(i)}<p>Call us now</p><div>Buy our book</div></div></div><div id='low'>Imprint {i}</div></body>"))
+    for i in range(8):  # with an article: a slogan and a menu of its own inside
+        pages.append(("news", f"<body><nav>Home {i}</nav><article><h1>T{i}</h1><p>text {i}</p><p>as always</p><div><p>Share this</p></div>{menu(i)}<div class='related'>{'own part of the article ' * 9}{i}</div></article><aside>x</aside></body>"))
+    pages += [("news", None), ("news", "<h1>404</h1>"), ("news", "<article>alone"), ("plain", "<body><p>gone</p></body>"), ("one", "<body><p>only 'page\" here</p></body>")]
+    d = spark.createDataFrame([(i, f"http://{h}/{i}", p) for i, (h, p) in enumerate(pages)], "page_id long, url string, html string")
+    got = {x.page_id: x.text for x in html.main_texts(d).collect()}
+    for i in range(12):
+        assert got[i] == f"story {i} {'word ' * 40}".strip()
+    for i in range(8):
+        assert got[12 + i] == f"T{i} text {i} as always {'own part of the article ' * 9}{i}"
+    assert [got[20 + k] for k in range(5)] == ["", "404", "alone", "gone", "only 'page\" here"]
+    marked = d.select(html.host_of().alias("host"), F.xxhash64("page_id").alias("mark"), "html")
+    made = {x.host: x for x in html.templates(marked).collect()}
+    for host in ("plain", "news"):
+        counts = [c for h, p in pages if h == host and (c := html.counted(p or ""))]
+        vectors = collections.defaultdict(set)
+        for key in {k for c in counts for k in c if k[0] not in ("=", "@", "")}:
+            v = tuple(c.get(key, 0) for c in counts)
+            if sum(map(bool, v)) >= html.SUPPORT * len(counts):
+                vectors[v, key[1].startswith("#")].add(key)
+        root = {t for (v, text), keys in vectors.items() if not text and max(v) == 1 and sum(v) >= html.SHARE * len(counts) for t, _ in keys}
+        texts = {t for (v, text), keys in vectors.items() if text and sum(map(bool, v)) >= html.SHARE * len(counts) for t, _ in keys}
+        assert made[host].n_pages == len(counts) and set(made[host].root) == root and {x.token for x in made[host].texts} == texts
+        nested = {(min(p for _, p in keys), frozenset(t for t, _ in keys)) for (v, text), keys in vectors.items() if not text and sum(v) > sum(map(bool, v)) and len(keys) > 1 and all(html.below(p, min(q for _, q in keys)) for _, p in keys)}
+        assert {(x.container, frozenset(x.tokens)) for x in made[host].nested} == nested and nested
+
+
 def brute_rules(t):
     w = [x.decode() for x in words(t)]
     grams = collections.Counter(zip(w, w[1:], w[2:], strict=False))
