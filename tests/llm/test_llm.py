@@ -284,40 +284,82 @@ def test_decontamination_folds(spark):
     assert t.bounds.tolist() == [0, 2, 2, 4, 5] and t.hashes[2:].tolist() == plain.tolist()
 
 
-def test_language_model(spark, docs, monkeypatch):
+def brute_model(train, order):
+    """Interpolated modified Kneser-Ney by dictionaries: p(words before, word)."""
+    counts = collections.defaultdict(collections.Counter)  # by order
+    for ws in train:
+        line = ["<s>", *ws, "</s>"]
+        for j in range(1, len(line)):
+            gram = tuple(line[max(0, j - order + 1) : j + 1])
+            counts[len(gram)][gram] += 1  # the longest at its place: of full length, or from the begin on
+    for k in range(order, 1, -1):
+        for gram in list(counts[k]):
+            counts[k - 1][gram[1:]] += 1
+    of = lambda c: [sum(n == k for n in c.values()) for k in (1, 2, 3, 4)]
+    ds = {k: lm.discounts(of(counts[k])) for k in range(1, order + 1)}
+    cut = lambda n, d: max(0.0, n - (0, *d)[min(n, 3)])
+    follow, kinds = collections.Counter(), collections.defaultdict(lambda: [0, 0, 0])
+    for k in range(2, order + 1):
+        for gram, n in counts[k].items():
+            follow[gram[:-1]] += n
+            kinds[gram[:-1]][min(n, 3) - 1] += 1
+    types, size = len(counts[2]), len({w for ws in train for w in ws}) + 1
+    low = counts[1].values()
+    gamma = (ds[1][0] * sum(n == 1 for n in low) + ds[1][1] * sum(n == 2 for n in low) + ds[1][2] * sum(n >= 3 for n in low)) / types
+
+    def prob(before, w):
+        p = cut(counts[1][w,], ds[1]) / types + gamma / (size + 1)
+        for k in range(2, min(order, len(before) + 1) + 1):
+            u = tuple(before[len(before) - k + 1 :])
+            if follow[u]:
+                p = (cut(counts[k][(*u, w)], ds[k]) + sum(a * b for a, b in zip(ds[k], kinds[u], strict=True)) * p) / follow[u]
+        return p
+
+    return prob
+
+
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_language_model(spark, docs, monkeypatch, order):
     monkeypatch.setattr(lm, "TOKENS_A_PART", 2000)
     monkeypatch.setattr(lm, "WORDS_A_PART", 50)
-    got = collections.Counter((x.doc_id, x.held_out, x.n_tokens, x.n_known, x.train_tokens, round(x.base_score, 6), round(x.score, 6)) for x in lm.train_and_score(docs).collect())
+    monkeypatch.setattr(lm, "BUCKET", 8)
+    if order == 4:
+        monkeypatch.setattr(lm, "COARSE", 3)
+    got = collections.Counter((x.doc_id, x.held_out, x.n_tokens, x.n_known, x.train_tokens, round(x.base_score, 6), round(x.score, 6)) for x in lm.train_and_score(docs, order).collect())
     rows = [(i, [w.lower() for w in words(t)]) for i, t, *_ in fixture_rows()]
     held = lambda i: zlib.crc32(b"null" if i is None else str(i).encode()) % 7 == 2
     train = [w for i, w in rows if not held(i)]
     c = collections.Counter(w for ws in train for w in ws)
     c["end"] = len(train)
-    total, size, pairs = sum(c.values()), len(c), collections.Counter()
-    for ws in train:
-        pairs.update(zip(["begin", *ws], [*ws, "end"], strict=True))
-    of = lambda counts: [sum(n == k for n in counts.values()) for k in (1, 2, 3, 4)]
-    before, follow, kinds = collections.Counter(w for _, w in pairs), collections.Counter(), collections.defaultdict(lambda: [0, 0, 0])
-    for (u, _), n in pairs.items():
-        follow[u] += n
-        kinds[u][min(n, 3) - 1] += 1
-    d, e, types = lm.discounts(of(pairs)), lm.discounts(of(before)), len(pairs)
-    cut = lambda n, ds: max(0.0, n - (0, *ds)[min(n, 3)])
-    gamma = (e[0] * of(before)[0] + e[1] * of(before)[1] + e[2] * sum(n >= 3 for n in before.values())) / types
-    low = lambda w: cut(before[w], e) / types + gamma / (size + 1)
-    prob = lambda u, w: low(w) if not follow[u] else (cut(pairs[u, w], d) + sum(a * b for a, b in zip(d, kinds[u], strict=True)) * low(w)) / follow[u]
+    total, size, prob = sum(c.values()), len(c), brute_model(train, order)
     want = collections.Counter()
     for i, ws in rows:
-        out = [*ws, "end"]
-        want[i, held(i), len(out), sum(c[w] > 0 for w in out), total, round(sum(math.log10((c[w] + 1) / (total + size + 1)) for w in out), 6), round(sum(math.log10(prob(u, w)) for u, w in zip(["begin", *ws], out, strict=True)), 6)] += 1
+        out, line = [*ws, "end"], ["<s>", *ws]
+        score = sum(math.log10(prob(line[: j + 1], w)) for j, w in enumerate([*ws, "</s>"]))
+        want[i, held(i), len(out), sum(c[w] > 0 for w in out), total, round(sum(math.log10((c[w] + 1) / (total + size + 1)) for w in out), 6), round(score, 6)] += 1
     assert got == want
     # for any context, known words and one unknown sum to 1
-    for u in ("begin", next(w for w in train[0])):
-        assert abs(sum(prob(u, w) for w in c) + prob(u, "unseen") - 1) < 1e-6
-    nothing = lm.train_and_score(docs.where("doc_id = 0").withColumn("doc_id", F.lit(next(i for i in range(99) if held(i))).cast("long"))).first()
+    known = [*(w for w in c if w != "end"), "</s>", "unseen"]
+    for line in (["<s>"], ["<s>", train[0][0]], ["<s>", *train[0][:5]]):
+        assert abs(sum(prob(line, w) for w in known) - 1) < 1e-6
+    nothing = lm.train_and_score(docs.where("doc_id = 0").withColumn("doc_id", F.lit(next(i for i in range(99) if held(i))).cast("long")), order).first()
     assert nothing.n_known == 0 and math.isfinite(nothing.score)
 
 
+def test_language_model_arrays():
+    """Large values, many ids and blobs, and words with ids beyond 32 bits."""
+    r = np.random.Generator(np.random.PCG64(3))
+    columns = [r.integers(0, 1 << b, 5000) for b in (3, 40, 9)]
+    counts = r.integers(1, 1 << 40, 5000)
+    rows = lambda c, n: collections.Counter(zip(*[x.tolist() for x in c], n.tolist(), strict=True))
+    assert rows(*lm.unpacked(lm.packed(columns, counts))) == rows(columns, counts)
+    one = lm.distinct([np.concatenate([c, c]) for c in columns], np.concatenate([counts, counts]))
+    again = lm.distinct(columns, counts)
+    assert rows(*one) == rows(again[0], 2 * again[1])
+    small = lm.coded([np.asarray([1, 15, 16, 3]), np.asarray([1, 2, 3, 15]), np.asarray([0, 7, 1, 1]), np.asarray([0, 7, 0, 9])])
+    assert small["over"].tolist() == [2, 3] and small["large"].tolist() == [[16, 3, 1, 0], [3, 15, 1, 9]]
+
+
 def test_html(spark):
     shell = lambda body, n: f"<html><head><title>t{n}</title><style>p{{}}</style><script>var a='</p>'</script></head><body><nav><ul><li><a href='/'>Home{n}</a></ul></nav><!-- x --><div class='cookie-notice'>We use cookies</div>{body}<aside>side</aside><section id=comments><p>first!</section><form><label>Mail<input></form><footer>&copy; site</footer></body></html>"
     article = "<article><h1>A &amp; B</h1><p><b>one<br>two<p>fo<i>ur</i>&nbsp;\n five<div class='share'>Share</div></article>"
