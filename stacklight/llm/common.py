@@ -215,7 +215,7 @@ def input_parts(df: DataFrame, bytes_a_part: int = 256 << 20) -> int:
 
     The size is the plan's own statistic (that of the files), taken four times because columns are compressed; where it isn't known the session's number stands."""
     spark = df.sparkSession
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-4 * size // bytes_a_part) if size < 1 << 60 else 0)
 
 

@@ -1,7 +1,7 @@
 """Benchmark decontamination: rare n-gram seeds find candidates, Smith-Waterman alignment of words scores them.
 
-1. The benchmark is taken in blocks of a bounded number of seeds; a block's seed hashes travel with the job. A block after another
-   passes over all documents, so a benchmark of any size needs bounded memory.
+1. The benchmark is taken in blocks of a bounded number of words; a block's seeds are broadcast, so the join of passages to items is a lookup where the
+   passages are. A block after another passes over all documents, so a benchmark of any size needs bounded memory.
 2. A pass counts in how many documents each seed occurs. Seeds are rare if they aren't far above the middle one of the seeds of their
    own item that occur: commonness is relative.
 3. A pass joins documents to items through seeds, gathers hits into regions along the alignment diagonal, and aligns each item
@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -147,8 +148,9 @@ def local_score(item: np.ndarray, regions: np.ndarray, lengths: np.ndarray) -> t
     return best, where
 
 
-def _seed_counts(index: Index):
+def _seed_counts(shared: Broadcast):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = shared.value
         seeds = np.unique(index.hash)
         total = np.zeros(len(seeds), np.int64)
         for b in batches(it, "text"):
@@ -226,8 +228,9 @@ def _align(index: Index, t: Texts, lo: np.ndarray, reps: np.ndarray, at: np.ndar
                     found[key] = (int(score[r]), stop, len(words))
 
 
-def _aligned(index: Index, threshold: float):
+def _aligned(shared: Broadcast, threshold: float):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = shared.value
         for b in batches(it, "text"):
             t = Folded(b.column("text"))
             at, what = index.hits(t)
@@ -238,10 +241,10 @@ def _aligned(index: Index, threshold: float):
                 _align(index, t, lo, reps, part, threshold, found)
             if found:
                 keys = sorted(found)
-                ids = b.column("doc_id").take(pa.array([d for d, _ in keys]))
+                ids, fps = (b.column(c).take(pa.array([d for d, _ in keys])) for c in ("doc_id", "fp"))
                 yield pa.RecordBatch.from_arrays(
-                    [ids, pa.array([index.ids[i] for _, i in keys], pa.int64()), pa.array([found[x][0] for x in keys], pa.int64()), pa.array([found[x][0] / found[x][2] for x in keys], pa.float64()), pa.array([found[x][1] for x in keys], pa.int64())],
-                    ["doc_id", "item_id", "matched", "score", "end_word"],
+                    [ids, fps, pa.array([index.ids[i] for _, i in keys], pa.int64()), pa.array([found[x][0] for x in keys], pa.int64()), pa.array([found[x][0] / found[x][2] for x in keys], pa.float64()), pa.array([found[x][1] for x in keys], pa.int64())],
+                    ["doc_id", "fp", "item_id", "matched", "score", "end_word"],
                 )
 
     return run
@@ -252,7 +255,7 @@ def _blocks(benchmark: DataFrame, item: str, text: str, most: int) -> Iterator[t
     for r in benchmark.select(F.col(item).cast("long").alias("i"), F.coalesce(text, F.lit("")).alias("t")).orderBy("i").toLocalIterator():
         ids.append(r.i)
         texts.append(r.t)
-        words += r.t.count(" ") + 1
+        words += len(r.t.split()) + 1
         if words >= most:
             yield ids, texts
             ids, texts, words = [], [], 0
@@ -260,13 +263,17 @@ def _blocks(benchmark: DataFrame, item: str, text: str, most: int) -> Iterator[t
         yield ids, texts
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", seed_words: int = SEED_WORDS, threshold: float = THRESHOLD, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """(doc_id, item_id, matched, score, end_word): the best alignment of each document and item that reaches the threshold."""
-    d = docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+FOUND = "doc_id long, fp long, item_id long, matched long, score double, end_word long"
+
+
+def aligned(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", seed_words: int = SEED_WORDS, threshold: float = THRESHOLD, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """(doc_id, fp, item_id, matched, score, end_word): the best alignment of each document and item that reaches the threshold. fp: hash of the text."""
+    spark = docs.sparkSession
+    d = docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.xxhash64(F.col(f"`{text}`")).alias("fp"), F.col(f"`{text}`").alias("text"))
     out = None
     for ids, texts in _blocks(benchmark, item, item_text, block_words):
         index = Index(texts, ids, seed_words)
-        counts = d.mapInArrow(_seed_counts(index), "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n"))
+        counts = d.mapInArrow(_seed_counts(spark.sparkContext.broadcast(index)), "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n"))
         counted = counts.toArrow()  # as many rows as the block has seeds at most
         order = np.argsort(np.asarray(counted.column("seed")).view(np.uint64)) if counted.num_rows else np.zeros(0, int)
         seeds, n = np.asarray(counted.column("seed")).view(np.uint64)[order], np.asarray(counted.column("n"))[order]
@@ -280,12 +287,17 @@ def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str
             if edges[i] < edges[i + 1]:
                 middle[i] = np.median(df[order[edges[i] : edges[i + 1]]])
         index.rare = (df <= COMMON_LEAST) | (df <= COMMON_TIMES * middle[index.item])
-        part = d.mapInArrow(_aligned(index, threshold), "doc_id long, item_id long, matched long, score double, end_word long")
+        part = d.mapInArrow(_aligned(spark.sparkContext.broadcast(index), threshold), FOUND)
         out = part if out is None else out.unionByName(part)
-    return out if out is not None else docs.sparkSession.createDataFrame([], "doc_id long, item_id long, matched long, score double, end_word long")
+    return out if out is not None else spark.createDataFrame([], FOUND)
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+    """(doc_id, item_id, matched, score, end_word) of each leak, null keys too."""
+    return aligned(docs, benchmark, **options).drop("fp")
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", **options) -> DataFrame:
-    """The rows of docs without a leak. Rows with a null key stay."""
-    found = written(leaks(docs, benchmark, key, **options).where("doc_id IS NOT NULL").select(F.col("doc_id").alias("__leak")).distinct(), "leaks")
-    return docs.join(found, F.col(f"`{key}`") == F.col("__leak"), "left_anti")
+def clean(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """The rows of docs without a leak. Rows are known by key and text, so those that share a key are judged each, and null keys too."""
+    found = written(aligned(docs, benchmark, key=key, text=text, **options).select(F.col("doc_id").alias("__leak"), "fp").distinct(), "leaks")
+    return docs.join(found, F.col(f"`{key}`").cast("long").eqNullSafe(found["__leak"]) & (F.xxhash64(F.col(f"`{text}`")) == found["fp"]), "left_anti")

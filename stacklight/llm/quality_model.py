@@ -51,7 +51,7 @@ def tokens(t: Texts) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _random_index(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(BUCKETS * WIDTH, np.float64)
+    total = np.zeros(BUCKETS * WIDTH, np.float64)  # of ones and minus ones: exact below 2 ** 53
     for b in batches(it, "text", 4 << 20):
         h, bounds = tokens(Texts(b.column("text")))
         if len(h) < 2:
@@ -67,24 +67,26 @@ def _random_index(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 total += np.bincount((row[:-away] + places[k][away:])[same], signs[k][away:][same], len(total))
                 total += np.bincount((row[away:] + places[k][:-away])[same], signs[k][:-away][same], len(total))
     parts = total.reshape(_CHUNKS, -1)
-    yield pa.RecordBatch.from_arrays([pa.array(np.arange(_CHUNKS, dtype=np.int32)), pa.array([p.astype(np.float32).tobytes() for p in parts], pa.binary())], ["chunk", "sums"])
+    yield pa.RecordBatch.from_arrays([pa.array(np.arange(_CHUNKS, dtype=np.int32)), pa.array([p.astype(np.int64).tobytes() for p in parts], pa.binary())], ["chunk", "sums"])
 
 
 def _added(rows: pd.DataFrame) -> pd.DataFrame:
-    total = np.zeros(BUCKETS * WIDTH // _CHUNKS, np.float64)
+    total = np.zeros(BUCKETS * WIDTH // _CHUNKS, np.int64)  # whole numbers: the same whatever the partitions
     for x in rows.sums:
-        total += np.frombuffer(x, np.float32)
-    return pd.DataFrame({"chunk": [int(rows.chunk.iloc[0])], "sums": [total.astype(np.float32).tobytes()]})
+        total += np.frombuffer(x, np.int64)
+    return pd.DataFrame({"chunk": [int(rows.chunk.iloc[0])], "sums": [total.tobytes()]})
 
 
 def word_vectors(df: DataFrame, text: str = "text") -> np.ndarray:
     """BUCKETS unit vectors, learned from all texts. Sums are combined a chunk a task; their size is fixed."""
     d = df.select(F.col(f"`{text}`").alias("text"))
     sums = d.mapInArrow(_random_index, "chunk int, sums binary").groupBy("chunk").applyInPandas(_added, "chunk int, sums binary").collect()
-    out = np.zeros((_CHUNKS, BUCKETS * WIDTH // _CHUNKS), np.float32)
+    out = np.zeros((_CHUNKS, BUCKETS * WIDTH // _CHUNKS), np.float64)
     for r in sums:
-        out[r.chunk] = np.frombuffer(bytes(r.sums), np.float32)
+        out[r.chunk] = np.frombuffer(bytes(r.sums), np.int64)
     out = out.reshape(BUCKETS, WIDTH)
+    out /= max(1.0, np.abs(out).max())
+    out = out.astype(np.float32)
     return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9).astype(np.float32)
 
 
@@ -177,8 +179,9 @@ def learn(docs: DataFrame, labels: DataFrame, vectors: np.ndarray, sample: int =
             x = pooled(Texts(b.column("text")), shared.value)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("y"), pa.array([r.tobytes() for r in x], pa.binary())], ["doc_id", "y", "x"])
 
-    got = docs.select("doc_id", "text").join(F.broadcast(y), "doc_id").mapInArrow(features, "doc_id long, y int, x binary").toPandas()
-    got = got.drop_duplicates().sort_values(["doc_id", "x"])
+    # of rows that repeat a key one is taken, so what is collected is bounded by the sample
+    found = docs.select("doc_id", "text").join(F.broadcast(y), "doc_id").mapInArrow(features, "doc_id long, y int, x binary")
+    got = found.groupBy("doc_id").agg(F.min("y").alias("y"), F.min("x").alias("x")).toPandas().sort_values("doc_id")
     x = np.stack([np.frombuffer(r, np.float32) for r in got.x]) if len(got) else np.zeros((0, 2 * WIDTH + 2), np.float32)
     return Network(x, got.y.to_numpy())
 

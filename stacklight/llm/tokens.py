@@ -11,6 +11,7 @@ gives an empty result. Very long texts are one row, encoded word by word. Column
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from collections.abc import Iterator
@@ -23,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stacklight.llm.common import batches
+from stacklight.llm.common import batches, input_parts
 from stacklight.session import work_path
 
 END_ID = 1
@@ -38,18 +39,33 @@ MARKS = "".join(chr(c) for c in range(0x21, 0x7F) if not chr(c).isalnum() and ch
 SCHEMA = "doc_id long, shard int, local_start long, n_tokens int, ids array<int>"
 
 
+# The normalizer and the pre-tokenizer of tokenizers whose ids of a text are those of its words, cut as below.
+WORDWISE_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+WORDWISE_SPLIT = {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}
+
+
+def wordwise(spec: dict) -> bool:
+    """Does a tokenizer file, as JSON, work within white space and in small letters, with special tokens that hold no space and start with <|?"""
+    splits = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+    quiet = all(not spec.get(k) for k in ("truncation", "padding")) and not spec["model"].get("dropout")
+    special = all(t["content"].startswith("<|") and len(t["content"].split()) == 1 and not (t["lstrip"] or t["rstrip"] or t["normalized"]) for t in spec.get("added_tokens") or ())
+    return quiet and special and spec.get("normalizer") == WORDWISE_NORMALIZER and splits[0] == WORDWISE_SPLIT and all(x.get("type") == "ByteLevel" and not x.get("use_regex", True) and not x.get("add_prefix_space", True) for x in splits[1:])
+
+
 class Encoder:
     """Ids of whole texts.
 
-    The tokenizer normalizes and splits within white space only, so a text's ids are those of its words in turn. Arrow splits a batch into
+    Where the tokenizer normalizes and splits within white space only, as its file is checked for, a text's ids are those of its words in turn. Arrow splits a batch into
     words, finds the distinct ones and cuts them into a core (in small ASCII letters) and the marks at its end, which are one
-    piece for the tokenizer. Distinct cores are few: their ids are remembered, and only new ones go to the library."""
+    piece for the tokenizer. Distinct cores are few: their ids are remembered, and only new ones go to the library. Other tokenizers get whole texts."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            self.wordwise = wordwise(json.load(f))
         self.known: dict[bytes, bytes] = {b"": b""}
         self.older: dict[bytes, bytes] = {}
 
@@ -60,6 +76,9 @@ class Encoder:
 
     def encode_column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after another, and where each text's end. No text may be null."""
+        if not self.wordwise:
+            found = self.tokenizer.encode_batch([x.decode("utf-8", "replace") for x in texts.cast(pa.large_binary()).to_pylist()], add_special_tokens=False)
+            return np.asarray([i for e in found for i in e.ids], "<i4"), np.cumsum([len(e.ids) for e in found], dtype=np.int64)
         lists = pc.ascii_split_whitespace(texts.cast(pa.large_binary()).view(pa.large_string()))  # at \x20 and \x09-\x0D
         words = lists.flatten().dictionary_encode()
         cores, marks = (x.dictionary_encode() for x in _cut(words.dictionary))
@@ -153,7 +172,7 @@ def write_tokens(df: DataFrame, tokenizer_path: str, path: str | None = None, ke
     """Writes the ids of all texts; returns the folder."""
     spark = df.sparkSession
     path = path or work_path(spark, "tokens")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = input_parts(df)
     d = df.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     d = d.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
     out = d.mapInArrow(_encoded(tokenizer_path, end_id), SCHEMA)
@@ -162,12 +181,15 @@ def write_tokens(df: DataFrame, tokenizer_path: str, path: str | None = None, ke
     return path
 
 
-def read_tokens(spark: SparkSession, path: str) -> DataFrame:
+def read_tokens(spark: SparkSession, path: str, first: int | None = None, last: int | None = None) -> DataFrame:
     """The rows of the files, with start: ids of all documents before. Only columns that are used are read.
 
-    Shards are as many as partitions; their totals come from the metadata columns alone."""
-    rows = spark.read.schema(SCHEMA).parquet(path)
-    shards = rows.groupBy("shard").agg(F.sum(F.col("n_tokens").cast("long")).alias("n")).orderBy("shard").collect()
+    first, last: keys of a range; files, row groups and pages outside it are passed over by their statistics. Shards are as many as
+    partitions; their totals come from the metadata columns alone."""
+    files = spark.read.schema(SCHEMA).parquet(path)
+    rows = files if first is None else files.where(F.col("doc_id") >= first)
+    rows = rows if last is None else rows.where(F.col("doc_id") <= last)
+    shards = files.groupBy("shard").agg(F.sum(F.col("n_tokens").cast("long")).alias("n")).orderBy("shard").collect()
     bases, total = [], 0
     for s in shards:
         bases.append((s.shard, total))

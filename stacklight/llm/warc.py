@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stacklight.llm.common import local_path
+from stacklight.llm.common import input_parts, local_path
 from stacklight.session import work_path
 
 ROLL_BYTES = 64 << 20
@@ -129,8 +129,7 @@ def write_warc(pages: DataFrame, path: str | None = None, roll_bytes: int = ROLL
     marks = d.select("page_id", "digest").join(most, "digest").where("page_id IS NULL OR page_id <> refers_to")
     marks = marks.select("page_id", F.lit(0).alias("kind"), "digest", "refers_to", F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("html"))
     rows = p.select("page_id", F.lit(1).alias("kind"), F.lit(None).cast("string").alias("digest"), F.lit(None).cast("long").alias("refers_to"), "url", "html").unionByName(marks)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.repartitionByRange(parts, "page_id").sortWithinPartitions("page_id", "kind", "url", "digest", F.xxhash64("html"))
+    rows = rows.repartitionByRange(input_parts(pages), "page_id").sortWithinPartitions("page_id", "kind", "url", "digest", F.xxhash64("html"))
     rows.mapInArrow(_writer(local_path(f"{path}/data"), roll_bytes), MANIFEST).write.parquet(f"{path}/manifest")
     return path
 

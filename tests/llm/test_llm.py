@@ -6,8 +6,10 @@ import base64
 import collections
 import hashlib
 import math
+import os
 import random
 import re
+import types
 import unicodedata
 import zlib
 
@@ -125,6 +127,52 @@ def test_tokens(spark, docs, empty):
     assert [x.tolist() for x in np.split(ids, ends)[:-1]] == [t.encode(s, add_special_tokens=False).ids for s in hard]
 
 
+def test_token_files(spark, docs):
+    """What the files are: dictionaries, bounded row groups, page indexes, and readers that take metadata or a key range alone."""
+    from pyarrow import parquet
+    from tokenizers import Tokenizer
+
+    path = tokens.write_tokens(docs, queries.tokenizer_path())
+    folder = path.removeprefix("file://")
+    files = [f"{folder}/{x}" for x in os.listdir(folder) if x.endswith(".parquet")]
+    for f in files:
+        meta = parquet.ParquetFile(f).metadata
+        for g in range(meta.num_row_groups):
+            assert meta.row_group(g).total_byte_size <= tokens.ROW_GROUP_BYTES * 1.1
+            columns = {meta.row_group(g).column(k).path_in_schema.split(".")[0]: meta.row_group(g).column(k) for k in range(meta.num_columns)}
+            assert columns["ids"].has_dictionary_page and any("DICTIONARY" in e for e in columns["ids"].encodings)
+            assert columns["doc_id"].has_column_index and columns["ids"].has_offset_index
+    meta = tokens.read_tokens(spark, path).select("doc_id", "start", "n_tokens")
+    plan = meta._jdf.queryExecution().executedPlan().toString()
+    assert "ids" not in plan.split("ReadSchema")[1].split("\n")[0]
+    some = tokens.read_tokens(spark, path, 3, 5)
+    assert "GreaterThanOrEqual(doc_id,3)" in some._jdf.queryExecution().executedPlan().toString()
+    whole = {(x.doc_id, x.start): x.ids for x in tokens.read_tokens(spark, path).collect()}
+    assert {(x.doc_id, x.start): x.ids for x in some.collect()} == {k: v for k, v in whole.items() if k[0] in (3, 4, 5)}
+    other = tokens.Encoder(queries.tokenizer_path("byte_bpe_50k.json"))  # neither lower case nor split at white space
+    library, texts = Tokenizer.from_file(queries.tokenizer_path("byte_bpe_50k.json")), ["It's  A\n test. ", "", "ÀÉ... x", " y"]
+    ids, ends = other.encode_column(pa.array(texts))
+    assert not other.wordwise and tokens.encoder(queries.tokenizer_path()).wordwise
+    assert [x.tolist() for x in np.split(ids, ends)[:-1]] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_warc_task_that_fails(spark, tmp_path, monkeypatch):
+    """A task that dies half way leaves no finished file behind, and its next attempt the same bytes as an undisturbed one."""
+    rows = [pa.RecordBatch.from_pylist([{"page_id": i, "kind": 1, "digest": None, "refers_to": None, "url": "u", "html": bytes([65 + i]) * 500} for i in range(k, k + 3)], pa.schema([("page_id", pa.int64()), ("kind", pa.int32()), ("digest", pa.string()), ("refers_to", pa.int64()), ("url", pa.string()), ("html", pa.binary())])) for k in (0, 3)]
+    monkeypatch.setattr(warc.TaskContext, "get", classmethod(lambda cls: types.SimpleNamespace(partitionId=lambda: 0, taskAttemptId=lambda: 7)))
+
+    def broken():
+        yield rows[0]
+        raise OSError("lost")
+
+    with pytest.raises(OSError):
+        list(warc._writer(str(tmp_path / "a"), 10**6)(broken()))
+    assert os.listdir(tmp_path / "a") == []
+    first = [x for b in warc._writer(str(tmp_path / "a"), 10**6)(iter(rows)) for x in b.to_pylist()]
+    again = [x for b in warc._writer(str(tmp_path / "b"), 10**6)(iter(rows)) for x in b.to_pylist()]
+    assert first == again and sum(x["records"] for x in first) == 6 and os.listdir(tmp_path / "a") == [x["file"] for x in first]
+
+
 def shingle_set(t):
     w = words(t)
     return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
@@ -247,6 +295,38 @@ def test_decontamination(spark, docs, empty):
     assert decontaminate.leaks(docs, bench.limit(0)).count() == 0
 
 
+def test_decontamination_of_common_halves(spark):
+    """An item of a common and a rare half: all alignments of either half are found, however many documents hold the common one; null and repeated keys are judged by their texts."""
+    r = random.Random(3)
+    item = [f"c{i}" for i in range(12)] + [f"r{i}" for i in range(12)]
+    fill = lambda: [f"f{r.randrange(10**6)}" for _ in range(30)]
+    for n in (90, 150):
+        rows = [(i, fill() + item[:12] + fill()) for i in range(n)] + [(n, fill() + item[12:] + fill()), (None, item), (7, fill()), (n + 1, fill())]
+        d = spark.createDataFrame([(i, "\n".join(w)) for i, w in rows], "doc_id long, text string")
+        bench = spark.createDataFrame([(5, "\t".join(item))], "item_id long, text string")
+        assert sorted((x.doc_id if x.doc_id is not None else -1, x.matched) for x in decontaminate.leaks(d, bench).collect()) == [(-1, 24), *[(i, 12) for i in range(n + 1)]]
+        assert sorted(x.doc_id for x in decontaminate.clean(d, bench).collect()) == [7, n + 1]
+
+
+def test_decontamination_recall(spark, sf_dir):
+    """Against alignment of all documents with all items of the small table: the seeds lose nothing."""
+    docs, bench = (table(spark, sf_dir, t).collect() for t in ("documents", "benchmark"))
+    d, b = (decontaminate.Folded(pa.array([x.text for x in rows])) for rows in (docs, bench))
+    want = set()
+    for j in range(b.n):
+        item = b.hashes[b.bounds[j] : b.bounds[j + 1]]
+        if not len(item):
+            continue
+        common = np.isin(d.hashes, item)
+        for i in np.flatnonzero(np.add.reduceat(np.append(common, False), np.minimum(d.bounds[:-1], len(common))) * (d.counts > 0) >= 0.5 * len(item)):  # no score is above it
+            text = d.hashes[d.bounds[i] : d.bounds[i + 1]]
+            score = int(decontaminate.local_score(item, text[None, :], np.asarray([len(text)]))[0][0])
+            if score >= 0.5 * len(item):
+                want.add((docs[i].doc_id, bench[j].item_id, score))
+    got = {(x.doc_id, x.item_id, x.matched) for x in decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).collect()}
+    assert got == want and want
+
+
 def test_decontamination_of_common_copies(spark, monkeypatch):
     """Edited copies keep under half of their seeds and stand in many documents, beside unlike documents with one common seed: each copy is found, in portions also."""
     r = random.Random(3)
@@ -263,8 +343,8 @@ def test_decontamination_of_common_copies(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "HITS", 10)
     index = decontaminate.Index([" ".join(w) for w in items], [0, 1], 3)
     index.rare[:] = False
-    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(len(texts))), "text": [" ".join(w) for w in texts]})
-    made = [x for b in decontaminate._aligned(index, 0.5)(iter([batch])) for x in b.to_pylist()]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(len(texts))), "fp": list(range(len(texts))), "text": [" ".join(w) for w in texts]})
+    made = [x for b in decontaminate._aligned(types.SimpleNamespace(value=index), 0.5)(iter([batch])) for x in b.to_pylist()]
     assert {(x["doc_id"], x["item_id"], x["matched"]) for x in made} == want
 
 
