@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from stacklight.config import DEFAULTS
 from stacklight.ontology import TONES
+from stacklight.session import written
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -44,16 +45,13 @@ def all_hits(books: DataFrame, query: DataFrame, k: int = DEFAULTS.initial_top_k
     return books.join(F.broadcast(knn(books, query, k).select("isbn13")), "isbn13", "left_semi")
 
 
-def similar_pairs(vectors: DataFrame, threshold: float = DEFAULTS.dedup_threshold, key: str = "concept", order: str = "ord", block: int = 1024) -> DataFrame:
-    """(a, b, similarity) of all pairs at least that similar, a before b in order.
+def _blocked(x: DataFrame, keys: list[str], threshold: float) -> DataFrame:
+    """(a, b, similarity) of the pairs that reach the threshold, of rows (keys, id, ord, embedding, blocks): each pair of blocks of a key is one matrix product on one task.
 
-    Rows are dealt into blocks; each pair of blocks is one matrix product on one task. Only pairs that pass become rows; memory is bounded by
-    two blocks. The number of blocks follows the number of rows, so work is exact and quadratic, and spread evenly."""
-    d = vectors.where("embedding IS NOT NULL").select(F.col(key).alias("id"), F.col(order).cast("long").alias("ord"), "embedding")
-    n = d.agg(F.count("*").alias("n"))
-    x = d.crossJoin(F.broadcast(n)).withColumn("blocks", F.ceil(F.col("n") / block)).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    Only pairs that pass become rows, and memory is bounded by two blocks."""
+    x = x.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")))
     x = x.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    x = x.select(F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), (F.col("own") > F.col("other")).alias("right"), "id", "ord", "embedding")
+    x = x.select(*keys, F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), (F.col("own") > F.col("other")).alias("right"), "id", "ord", "embedding")
 
     def pairs(rows: pd.DataFrame) -> pd.DataFrame:
         v = np.stack([np.asarray(e, np.float64) for e in rows.embedding])
@@ -74,4 +72,39 @@ def similar_pairs(vectors: DataFrame, threshold: float = DEFAULTS.dedup_threshol
         a, b = np.where(swap, b, a), np.where(swap, a, b)
         return pd.DataFrame({"a": ids[a], "b": ids[b], "similarity": sim})
 
-    return x.groupBy("lo", "hi").applyInPandas(pairs, "a string, b string, similarity double")
+    return x.groupBy(*keys, "lo", "hi").applyInPandas(pairs, "a string, b string, similarity double")
+
+
+def sign_bands(bands: int, bits: int, seed: int = 5):
+    """A column function: for each band a number made of the sides of bits seeded planes that a vector lies on."""
+
+    @F.pandas_udf("array<long>")
+    def run(vectors: pd.Series) -> pd.Series:
+        v = np.stack([np.asarray(e, np.float64) for e in vectors])
+        planes = np.random.Generator(np.random.PCG64(seed)).normal(size=(v.shape[1], bands * bits))
+        side = (v @ planes >= 0).reshape(len(v), bands, bits)
+        numbers = (side * (1 << np.arange(bits))).sum(axis=2) + np.arange(bands) * (1 << bits)
+        return pd.Series(list(numbers.astype(np.int64)))
+
+    return run
+
+
+def bands_for(threshold: float, miss: float = 1e-3, bits: int = 12) -> int:
+    """How many bands of so many signs miss a pair at the threshold with at most that probability: two vectors at an angle lie on one side of a plane with probability 1 - angle / pi."""
+    agree = (1 - np.arccos(min(1.0, max(-1.0, threshold))) / np.pi) ** bits
+    return int(np.ceil(np.log(miss) / np.log1p(-agree)))
+
+
+def similar_pairs(vectors: DataFrame, threshold: float = DEFAULTS.dedup_threshold, key: str = "concept", order: str = "ord", block: int = 1024, lsh: bool = False, miss: float = 1e-3) -> DataFrame:
+    """(a, b, similarity) of all pairs at least that similar, a before b in order.
+
+    By default all pairs are compared: rows are dealt into blocks, so work is exact and quadratic, and spread evenly. lsh: only rows that share a band of signs are, in blocks of
+    each band's bucket, and verified exactly; a pair at the threshold is missed with probability miss at most. That pays for high thresholds and millions of rows."""
+    d = vectors.where("embedding IS NOT NULL").select(F.col(key).alias("id"), F.col(order).cast("long").alias("ord"), "embedding")
+    if not lsh:
+        n = d.agg(F.count("*").alias("n"))  # one row
+        return _blocked(d.crossJoin(F.broadcast(n)).withColumn("blocks", F.ceil(F.col("n") / block)), [], threshold)
+    banded = written(d.select("id", F.explode(sign_bands(bands_for(threshold, miss), 12)(F.col("embedding"))).alias("band")), "bands")
+    sizes = banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band", F.ceil(F.col("n") / block).alias("blocks"))
+    x = banded.join(sizes, "band").join(d, "id")
+    return _blocked(x, ["band"], threshold).groupBy("a", "b").agg(F.max("similarity").alias("similarity"))

@@ -123,6 +123,17 @@ def test_pairs_over_blocks(spark):
     assert few == many and few
 
 
+def test_pairs_by_bands(spark):
+    """Sign bands find the pairs that comparing all finds."""
+    r = random.Random(2)
+    rows = [[r.gauss(0, 1) for _ in range(24)] for _ in range(120)]
+    rows += [[x + r.gauss(0, 0.2) for x in v] for v in rows[:60]]
+    d = spark.createDataFrame([(f"c{i}", i, v) for i, v in enumerate(rows)], "concept string, ord int, embedding array<double>")
+    full = {(x.a, x.b): round(x.similarity, 9) for x in vector.similar_pairs(d, 0.92).collect()}
+    some = {(x.a, x.b): round(x.similarity, 9) for x in vector.similar_pairs(d, 0.92, block=16, lsh=True).collect()}
+    assert some.items() <= full.items() and len(some) >= 0.98 * len(full) > 30
+
+
 def test_search_and_page(spark, sf_dir):
     b = enrich.imputed(X.books(spark, sf_dir))
     r = recommend(b, X.query_vector(spark, sf_dir), X.edges(X.books(spark, sf_dir)), tone="Happy")
