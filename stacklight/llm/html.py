@@ -42,7 +42,7 @@ SHARE = 0.8
 #: A class is known if it is on at least this share of the pages; a container is the main one if it holds this share of the text.
 SUPPORT, MAJOR = 0.5, 0.6
 
-_PART = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|textarea|noscript|template|svg)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)/?>|<[!?/][^>]*(?:>|\Z)", re.DOTALL | re.IGNORECASE)
+_PART = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|textarea|noscript|template|svg)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)/?>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^<>]*)>|<[!?/][^>]*(?:>|\Z)", re.DOTALL | re.IGNORECASE)
 _ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
 _WORD = re.compile(r"[a-z]+")
 _DIGITS = re.compile(r"\d+")
@@ -61,6 +61,8 @@ def parts(page: str) -> Iterator[tuple[str, str, str]]:
         at = m.end()
         if m[3]:
             yield ("close" if m[2] else "open"), m[3].lower(), m[4] or ""
+        elif m[6]:  # a quote that isn't closed
+            yield ("close" if m[5] else "open"), m[6].lower(), m[7] or ""
     if at < len(page):
         yield "text", "", page[at:]
 
