@@ -41,7 +41,7 @@ THRESHOLD = 0.8
 HASHES, BANDS, ROUND = 128, 32, 16
 TOLERANCE = 1e-6
 #: Rows of a bucket's block, and rows of small buckets that share a task.
-BUCKET_ROWS, BIN_ROWS = 512, 20_000
+BUCKET_ROWS, BIN_ROWS = 512, 2_000
 #: Documents, and shingles, of a group's block.
 BLOCK_ROWS, BLOCK_SHINGLES = 256, 400_000
 #: Pairs that are compared at a time.
