@@ -40,9 +40,9 @@ from stacklight.session import dropped, work_path, written
 ORDER = 3
 FOLDS, HELD_OUT = 7, 2
 #: Training tokens, and words of the vocabulary, that one merging task gets.
-TOKENS_A_PART, WORDS_A_PART = 3_000_000, 1_000_000
+TOKENS_A_PART, WORDS_A_PART = 2_000_000, 1_000_000
 #: Tokens whose n-grams, and words, that a task sums before it ships them.
-HELD, HELD_WORDS = 2_000_000, 3_000_000
+HELD, HELD_WORDS = 1_500_000, 3_000_000
 #: Parts of the first level of an exchange.
 COARSE = 1024
 BUCKET = 64
@@ -93,12 +93,17 @@ def _runs(x: np.ndarray) -> list[tuple[int, int]]:
     return [*zip(edges, edges[1:], strict=False)]
 
 
+def _grouped(x: np.ndarray) -> np.ndarray:
+    """An order that brings equal small numbers together, by radix where they have 16 bits."""
+    return np.argsort(x.astype(np.uint16) if not len(x) or x.max() < 1 << 16 else x, kind="stable")
+
+
 def distinct(columns: list[np.ndarray], counts: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
     """Distinct rows in order of their hashes, with the sums of their counts."""
     if not len(counts):
         return columns, counts
     h = hashed(columns)
-    order = np.argsort(h, kind="stable")
+    order = np.argsort(h)
     h = h[order]
     at = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
     return [c[order[at]] for c in columns], np.add.reduceat(counts[order], at)
@@ -111,7 +116,7 @@ def _planes(x: np.ndarray) -> bytes:
 
 def packed(columns: list[np.ndarray], counts: np.ndarray) -> bytes:
     """Rows in order of their first column: that as gaps, and all by byte planes; compressed."""
-    order = np.argsort(columns[0], kind="stable")
+    order = np.argsort(columns[0])
     first, *rest = (c[order] for c in columns)
     body = b"".join(map(_planes, [np.diff(first, prepend=0), *rest, counts[order]]))
     return zstandard.ZstdCompressor(level=1).compress(np.asarray([len(columns), len(counts)], "<i8").tobytes() + body)
@@ -206,7 +211,7 @@ def arranged(h: np.ndarray, parts: int, values: list[np.ndarray]) -> dict[str, n
     """Sorted hash arrays of one part: buckets by the upper bits, the lower 32 bits in order, and coded values."""
     n = max(1, -(-len(h) // BUCKET))
     bucket = _bucket(h, parts, n)
-    order = np.argsort((bucket.astype(np.uint64) << _SHIFT) | (h & _LOW), kind="stable")
+    order = np.argsort((bucket.astype(np.uint64) << _SHIFT) | (h & _LOW))
     index = np.searchsorted(bucket[order], np.arange(n + 1)).astype(np.uint32)
     return {"index": index, "low": (h[order] & _LOW).astype(np.uint32), **coded([v[order] for v in values])}
 
@@ -231,7 +236,7 @@ class Hashed:
         out = np.zeros((len(h), self.width), np.int64)
         rows = np.flatnonzero(able)
         part = part_of(where[rows], self.parts)
-        order = np.argsort(part, kind="stable")
+        order = _grouped(part)
         rows, part = rows[order], part[order]
         for i, j in _runs(part):
             if int(part[i]) in self.have:
@@ -294,7 +299,7 @@ class Model:
             have = dict(m["files"])
             self.grams = {k: Hashed(folder, f"grams{k}", have.get(k, ()), m["parts"], 1) for k in range(2, self.order + 1)}
             self.contexts = {k: Hashed(folder, f"contexts{k}", have.get(k, ()), m["parts"], 4) for k in range(3, self.order + 1)}
-            self.stats = Sorted(folder, [f"stats-{i:06d}" for i in m["stat_parts"]], _KINDS)
+            self.stats = {i: {k: np.load(f"{folder}/stats-{i:06d}.{k}.npy", mmap_mode="r") for k in _KINDS} for i in m["stat_parts"]}
 
     def ids(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(id or -1, training count) of each word."""
@@ -306,14 +311,18 @@ class Model:
         return ids[back], count[back]
 
     def _stat(self, ids: np.ndarray, kinds: tuple[str, ...]) -> list[np.ndarray]:
-        unique, back = np.unique(ids, return_inverse=True)
-        at = self.stats.find(np.maximum(unique, 0).astype(np.uint64))
-        ok = (at >= 0) & (unique >= 0)
-        out = []
-        for k in kinds:
-            v = np.zeros(len(unique), np.int64)
-            v[ok] = self.stats.take(k, at[ok])
-            out.append(v[back])
+        """Values of words by id, 0 for unknown ones: parts hold a row for each id of their range."""
+        out = [np.zeros(len(ids), np.int64) for _ in kinds]
+        rows = np.flatnonzero(ids >= 0)
+        part = ids[rows] // self.m["words_a_part"]
+        order = _grouped(part)
+        rows, part = rows[order], part[order]
+        for i, j in _runs(part):
+            arrays = self.stats.get(int(part[i]))
+            if arrays is not None:
+                at = ids[rows[i:j]] - int(part[i]) * self.m["words_a_part"]
+                for o, k in zip(out, kinds, strict=True):
+                    o[rows[i:j]] = arrays[k][at]
         return out
 
     def log10(self, columns: list[np.ndarray]) -> np.ndarray:
@@ -325,12 +334,14 @@ class Model:
             gram = columns[-k:]
             whole = gram[0] != pad
             seen = whole & np.all([c >= 0 for c in gram], axis=0)
-            (count,) = self.grams[k].take(route(gram), hashed(gram), seen)
+            h = hashed(gram)
             if k == 2:
+                (count,) = self.grams[k].take(h, h, seen)
                 follow, one, two, more = self._stat(np.where(whole, gram[0], -1), _KINDS[:4])
             else:
-                h = hashed(gram[:-1])
-                follow, one, two, more = self.contexts[k].take(h, h, whole & np.all([c >= 0 for c in gram[:-1]], axis=0))
+                context = hashed(gram[:-1])  # also its route
+                (count,) = self.grams[k].take(context, h, seen)
+                follow, one, two, more = self.contexts[k].take(context, context, whole & np.all([c >= 0 for c in gram[:-1]], axis=0))
             d = m["discounts"][k - 2]
             total = np.maximum(follow, 1)
             gamma = np.where(follow > 0, (d[0] * one + d[1] * two + d[2] * more) / total, 1.0)
@@ -393,7 +404,7 @@ def _save_words(folder: str):
 def _shipped(columns: list[np.ndarray], counts: np.ndarray, parts: int) -> pa.RecordBatch:
     """A compressed row for each part that the n-grams lie in."""
     where = part_of(route(columns), parts)
-    order = np.argsort(where, kind="stable")
+    order = _grouped(where)
     some, blobs = [], []
     for i, j in _runs(where[order]):
         rows = order[i:j]
@@ -467,7 +478,7 @@ def _merge(folder: str, order: int, size: int, parts: int, words_a_part: int):
             out += by_word("before", real[1], np.ones(len(n), np.int64))
         else:
             h = hashed(real[:-1])
-            by = np.argsort(h, kind="stable")
+            by = np.argsort(h)
             at = np.flatnonzero(np.concatenate([[True], np.diff(h[by]) != 0])) if len(h) else np.zeros(0, int)
             saved(folder, f"contexts{order}-{part:06d}", arranged(h[by][at], parts, [np.add.reduceat(v[by], at) if len(at) else v for v in kinds.values()]))
             below = _shipped(*distinct(columns[1:], np.where(whole, 1, counts)), parts)
@@ -477,7 +488,7 @@ def _merge(folder: str, order: int, size: int, parts: int, words_a_part: int):
     return run
 
 
-def _merge_stats(folder: str):
+def _merge_stats(folder: str, words_a_part: int):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         part = int(rows.part.iloc[0])
         merged = {}
@@ -485,11 +496,12 @@ def _merge_stats(folder: str):
             got = list(rows.blob[rows.kind == kind])
             (ids,), n = together(got) if got else ([np.zeros(0, np.int64)], np.zeros(0, np.int64))
             merged[kind] = summed(ids.astype(np.uint64), n)
-        keys = np.unique(np.concatenate([k for k, _ in merged.values()]))
-        arrays = {"keys": keys}
+        base = part * words_a_part
+        arrays = {}
         for kind, (k, n) in merged.items():
-            arrays[kind] = np.zeros(len(keys), np.int64)
-            arrays[kind][np.searchsorted(keys, k)] = n
+            small = not len(n) or n.max() < 1 << 31
+            arrays[kind] = np.zeros(words_a_part, np.int32 if small else np.int64)
+            arrays[kind][k.astype(np.int64) - base] = n
         saved(folder, f"stats-{part:06d}", arrays)
         before = arrays["before"]
         return pd.DataFrame([(part, *[int((before == c).sum()) for c in (1, 2, 3, 4)], int((before >= 3).sum()))], columns=["part", "n1", "n2", "n3", "n4", "more"])
@@ -515,7 +527,7 @@ def train(df: DataFrame, path: str | None = None, text: str = "text", order: int
     texts, size = d.count(), known + 1
     tokens = sum(f.tokens for f in files) + texts
     parts = max(1, -(-tokens // TOKENS_A_PART))
-    m = {"order": order, "word_parts": tuple(f.part for f in files), "size": size, "texts": texts, "tokens": tokens, "parts": parts}
+    m = {"order": order, "word_parts": tuple(f.part for f in files), "size": size, "texts": texts, "tokens": tokens, "parts": parts, "words_a_part": WORDS_A_PART}
     rows = d.mapInArrow(_count_grams(path, tuple(m.items()), order, parts), "part int, blob binary")
     all_files, all_discounts = [], []
     for k in range(order, 1, -1):
@@ -529,7 +541,7 @@ def train(df: DataFrame, path: str | None = None, text: str = "text", order: int
         m["types"] = numbers.get("types", 0)
         if k > 2:
             rows = made.where("kind = 'next'").select("part", "blob")
-    stats = written(made.where(F.col("kind").isin(*_KINDS)).groupBy("part").applyInPandas(_merge_stats(path), "part int, n1 long, n2 long, n3 long, n4 long, more long"), "lm-stat-files").orderBy("part").collect()
+    stats = written(made.where(F.col("kind").isin(*_KINDS)).groupBy("part").applyInPandas(_merge_stats(path, WORDS_A_PART), "part int, n1 long, n2 long, n3 long, n4 long, more long"), "lm-stat-files").orderBy("part").collect()
     m["stat_parts"] = tuple(r.part for r in stats)
     low = [sum(r[k] for r in stats) for k in ("n1", "n2", "n3", "n4", "more")]
     m["files"], m["discounts"], m["low_discounts"] = tuple(all_files), tuple(all_discounts), discounts(low[:4])
