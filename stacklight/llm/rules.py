@@ -116,9 +116,9 @@ def n_words(text: str = "text") -> Column:
 def bounded_sample(df: DataFrame, text: str = "text", rows: int = SAMPLE_ROWS, most: int = SAMPLE_BYTES) -> list[str]:
     """Texts for the estimates, on the driver: those of the first rows of a scan, no more than the bytes allow.
 
-    Spark cuts to so many rows; texts over a hundredth of the bytes are left out there, so what is collected is bounded too."""
+    Spark takes so many rows, a partition at a time until it has them; texts over a hundredth of the bytes are left out there, so what is collected is bounded too."""
     size = F.coalesce(F.octet_length(F.col(f"`{text}`")), F.lit(0))
-    got = df.where(size <= most // 100).select(F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text")).limit(rows).toLocalIterator()
+    got = df.where(size <= most // 100).select(F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text")).take(rows)
     out, total = [], 0
     for r in got:
         total += len(r.text.encode("utf-8", "replace"))
