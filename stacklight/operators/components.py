@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stacklight.session import dropped, written
+from stacklight.session import dropped, measured, written
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
@@ -20,13 +20,12 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     state = None
     for _ in range(max_rounds):
         large = _large_star(now)
-        after = written(_small_star(large), "cc")
+        after, mark = measured(_small_star(large), "cc", F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")))
         dropped(now)
-        mark = after.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         now = after
-        if state == (mark.n, mark.h):
+        if state == mark:
             break
-        state = (mark.n, mark.h)
+        state = mark
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     # At the fixed point every node hangs on the least node of its component.

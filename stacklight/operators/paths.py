@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stacklight.operators.graph import symmetric
-from stacklight.session import dropped, written
+from stacklight.session import dropped, measured, written
 
 
 def shortest_paths(edges: DataFrame, pairs: DataFrame, max_depth: int | None = None) -> DataFrame:
@@ -17,7 +17,7 @@ def shortest_paths(edges: DataFrame, pairs: DataFrame, max_depth: int | None = N
     done; it ends when no pair is open or a search reaches nothing new. Of equally short paths the least one, node by node, is taken. A node is its own path."""
     links = written(symmetric(edges).select("src", "dst").distinct(), "adjacency")
     known = links.select(F.col("src").alias("node")).distinct()
-    pairs = written(pairs.select("source", "target").distinct(), "pairs")
+    pairs, (left,) = measured(pairs.select("source", "target").distinct(), "pairs", F.count(F.lit(1)))
     front, last, made = {}, {}, []
     for side in ("source", "target"):
         start = pairs.select(F.col(side).alias("origin")).distinct().join(known, F.col("origin") == F.col("node"), "left_semi")
@@ -27,10 +27,11 @@ def shortest_paths(edges: DataFrame, pairs: DataFrame, max_depth: int | None = N
         there = front["source"].select(F.col("origin").alias("source"), "node", "path")
         back = front["target"].select(F.col("origin").alias("target"), "node", F.col("path").alias("rest"))
         hit = pairs.join(there, "source").join(back, ["target", "node"]).groupBy("source", "target").agg(F.min(F.concat("path", F.expr("slice(rest, 2, size(rest))"))).alias("path"))
-        hit = written(hit, "hits")
+        hit, (met,) = measured(hit, "hits", F.count(F.lit(1)))
         found = hit if found is None else found.unionByName(hit)
-        pairs = written(pairs.join(hit, ["source", "target"], "left_anti"), "pairs")
-        if length == max_depth or pairs.isEmpty():
+        if met:
+            pairs, (left,) = measured(pairs.join(hit, ["source", "target"], "left_anti"), "pairs", F.count(F.lit(1)))
+        if length == max_depth or not left:
             break
         side = ("source", "target")[length % 2]
         now = front[side].join(pairs.select(F.col(side).alias("origin")).distinct(), "origin", "left_semi")
@@ -38,10 +39,11 @@ def shortest_paths(edges: DataFrame, pairs: DataFrame, max_depth: int | None = N
         step = now.join(links, F.col("node") == F.col("src")).select("origin", F.col("dst").alias("node"), "path")
         step = step.join(seen.select("origin", "node"), ["origin", "node"], "left_anti").groupBy("origin", "node").agg(F.min("path").alias("path"))
         path = F.concat("path", F.array("node")) if side == "source" else F.concat(F.array("node"), F.col("path"))
-        last[side], front[side] = front[side], written(step.select("origin", "node", path.alias("path")), "front")
+        last[side] = front[side]
+        front[side], (new,) = measured(step.select("origin", "node", path.alias("path")), "front", F.count(F.lit(1)))
         made.append(front[side])
         length += 1
-        if front[side].isEmpty():
+        if not new:
             break
     dropped(links, pairs, *made)
     return found

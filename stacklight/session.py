@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 _CONF = "spark.checkpoint.dir"
 _local: list[str] = []
@@ -43,6 +43,16 @@ def written(df: DataFrame, name: str, partition_by: list[str] | None = None) ->
     return out
 
 
+def measured(df: DataFrame, name: str, *metrics: Column) -> tuple[DataFrame, tuple]:
+    """written(), and aggregates of the rows, gathered while they are written. With a lost executor a metric may count rows twice, so nothing but an end of a loop hangs on it."""
+    seen = Observation()
+    out = written(df.observe(seen, *[m.alias(f"m{i}") for i, m in enumerate(metrics)]), name)
+    got = seen.get
+    if len(got) < len(metrics):  # a plan without rows has no metrics
+        got = out.agg(*[m.alias(f"m{i}") for i, m in enumerate(metrics)]).first().asDict()
+    return out, tuple(got[f"m{i}"] for i in range(len(metrics)))
+
+
 def dropped(*tables: DataFrame | str) -> None:
     """Deletes tables made by written(), or paths, once nothing reads them any more."""
     for t in tables:
