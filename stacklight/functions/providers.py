@@ -110,6 +110,11 @@ def prompt(title: str, description: str, config: ExtractorConfig = ExtractorConf
     return [("system", "\n".join(ask)), ("human", f"Title: {title}\nDescription: {description[: config.prompt_chars]}")]
 
 
+def human_prompt(title: Column, description: Column, config: ExtractorConfig = ExtractorConfig()) -> Column:
+    """The book's part of the prompt, as a column."""
+    return F.concat(F.lit("Title: "), F.coalesce(title, F.lit("")), F.lit("\nDescription: "), F.substring(F.coalesce(description, F.lit("")), 1, config.prompt_chars))
+
+
 def prompted(load: Callable[[ExtractorConfig], Callable[[list[tuple[str, str]]], dict | None]], config: ExtractorConfig = ExtractorConfig()) -> Callable[[str, str], dict | None]:
     """A provider for extract() that prompts a chat model; load(config) makes the client once in each worker."""
     made: list = []

@@ -602,3 +602,115 @@ def first_rows(spark, sf_dir):
 @query("SELECT * FROM (VALUES (0, 'All'), (1, 'Happy'), (2, 'Surprising'), (3, 'Angry'), (4, 'Suspenseful'), (5, 'Sad')) t(ord, tone)")
 def tone_dropdown(spark, sf_dir):
     return enrich.tone_choices(spark)
+
+
+@query("SELECT string_agg(prompt || chr(10), '' ORDER BY vocabulary) AS content FROM (" + ORACLE_SQL["ontology_prompt"] + ")")
+def whole_text(spark, sf_dir):
+    """A text file as one document."""
+    path = work_path(spark, "vocabularies")
+    prompt_lists(spark).coalesce(1).sortWithinPartitions("vocabulary").select("prompt").write.text(path)
+    return readers.read_whole_text(spark, path)
+
+
+@query("SELECT 0::BIGINT AS n")
+def empty_cache(spark, sf_dir):
+    """A cache that isn't there is empty, in both forms."""
+    path = work_path(spark, "no-cache")
+    return readers.read_extractions(spark, path).unionByName(readers.read_extraction_json(spark, path)).agg(F.count("*").alias("n"))
+
+
+@query(_B + "SELECT isbn13, 'Title: ' || coalesce(title, '') || chr(10) || 'Description: ' || substr(description, 1, 2000) AS prompt FROM books WHERE trim(regexp_replace(description, '\\s+', ' ', 'g')) <> ''")
+def extraction_prompts(spark, sf_dir):
+    from stacklight.functions.providers import human_prompt
+    from stacklight.functions.text import is_blank
+
+    return X.books(spark, sf_dir).where(~is_blank(F.col("description"))).select("isbn13", human_prompt(F.col("title"), F.col("description")).alias("prompt"))
+
+
+def _answer(title: str, description: str) -> dict | None:
+    """A stand-in for a chat model: fails, refuses or answers by the length of the text."""
+    n = len(description) % 7
+    if n == 0:
+        raise TimeoutError("no answer")
+    return None if n == 1 else {"themes": ["grief"], "settings": [f"place-{n}"]}
+
+
+_BLANK_SQL = "description IS NULL OR trim(regexp_replace(description, '\\s+', ' ', 'g')) = ''"
+_N7 = "length(substr(description, 1, 2000)) % 7"
+
+
+@query(_B + f"SELECT isbn13, CASE WHEN {_BLANK_SQL} THEN 'blank' WHEN {_N7} = 0 THEN 'failed' WHEN {_N7} = 1 THEN 'refused' ELSE 'extracted' END AS outcome, CAST(CASE WHEN {_BLANK_SQL} THEN 0 WHEN {_N7} = 0 THEN 3 ELSE 1 END AS INTEGER) AS attempts, CASE WHEN NOT ({_BLANK_SQL}) AND {_N7} = 0 THEN 'TimeoutError: no answer' END AS error FROM books")
+def extraction_outcomes(spark, sf_dir):
+    """What came of each book, failures told apart from refusals."""
+    from stacklight.functions.providers import outcomes
+
+    return outcomes(X.books(spark, sf_dir), _answer).select("isbn13", "outcome", "attempts", "error")
+
+
+@query(_B + f"SELECT isbn13, 'grief' AS themes, 'place-' || {_N7} AS settings FROM books WHERE NOT ({_BLANK_SQL}) AND {_N7} > 1")
+def extraction_cache(spark, sf_dir):
+    """The cache after a run over a third of the books and one over all: nothing is asked for twice."""
+    from stacklight.streaming.incremental import extend_cache
+
+    b, path = X.books(spark, sf_dir), work_path(spark, "cache")
+    extend_cache(spark, b.where("src_ord % 3 = 0"), path, _answer)
+    return extend_cache(spark, b, path, _answer).select("isbn13", F.array_join("themes", "|").alias("themes"), F.array_join("settings", "|").alias("settings"))
+
+
+@query(_B + f"SELECT isbn13, coalesce({X._CASE}, CASE WHEN length(coalesce(description, '')) % 2 = 0 THEN 'Fiction' ELSE 'Nonfiction' END) AS simple_categories FROM books")
+def zero_shot_model(spark, sf_dir):
+    """Imputation by a model that is called with Arrow batches."""
+    from stacklight.functions.providers import zero_shot_model as hook
+
+    score = hook(lambda: lambda texts, labels: [[0.75, 0.25] if len(t) % 2 == 0 else [0.25, 0.75] for t in texts])
+    return enrich.imputed(X.books(spark, sf_dir), provider=score).select("isbn13", "simple_categories")
+
+
+@query(ORACLE_SQL["emotion_max"])
+def emotion_model(spark, sf_dir):
+    """Emotions by a model that is called with Arrow batches of sentences."""
+    from stacklight.functions.providers import LETTERS
+    from stacklight.functions.providers import emotion_model as hook
+
+    feel = hook(lambda: lambda sentences: [{e: t.count(c) / (len(t) + 1) for e, c in LETTERS.items()} for t in sentences])
+    b = enrich.with_emotions(X.books(spark, sf_dir).where("description IS NOT NULL"), model=feel)
+    return b.select("isbn13", *[F.round(e, 6).alias(e) for e in enrich.EMOTIONS])
+
+
+@query(_B + "SELECT isbn13, CAST(length(coalesce(description, '')) AS DOUBLE) AS first, CAST(length(coalesce(description, '')) - length(replace(coalesce(description, ''), 'e', '')) AS DOUBLE) AS second FROM books")
+def embedding_model(spark, sf_dir):
+    """Vectors by a model that is called with Arrow batches."""
+    from stacklight.functions.providers import embedding_model as hook
+
+    embed = hook(lambda: lambda texts: [[len(t), t.count("e")] for t in texts])
+    return X.books(spark, sf_dir).select("isbn13", embed(F.col("description")).alias("v")).select("isbn13", F.col("v")[0].cast("double").alias("first"), F.col("v")[1].cast("double").alias("second"))
+
+
+_TWO_QUERIES = {0: X.SEEDS, 1: (7, 50)}
+
+
+def _batch_sql() -> str:
+    each = []
+    for q, ids in _TWO_QUERIES.items():
+        seeds = "SELECT col0 AS node_id, col1 AS pos FROM (VALUES " + ", ".join(f"('book:{9780000000000 + n}', {i})" for i, n in enumerate(ids)) + ")"
+        each.append(f"SELECT {q} AS query_id, * FROM ({_san_sql(_E, seeds)}{_BOOKS_FOUND.format(k=20)} SELECT isbn13, round(v, 6) AS activation FROM found)")
+    return " UNION ALL ".join(each)
+
+
+@query(_batch_sql())
+def san_batch(spark, sf_dir):
+    """Two queries in one run, each with its own top books."""
+    seeds = spark.createDataFrame([(q, f"book:{9780000000000 + n}") for q, ids in _TWO_QUERIES.items() for n in ids], "query_id int, node_id string")
+    return spreading.activated_books(spreading.activate(X.edges(X.books(spark, sf_dir)), seeds), seeds).select("query_id", "isbn13", F.round("activation", 6).alias("activation"))
+
+
+@query(_RECOMMENDED + f" SELECT 'vector' AS kind, * FROM ({_CARDS_SQL} FROM hits) UNION ALL SELECT 'activated', * FROM ({_CARDS_SQL} FROM san)")
+def recommend_page(spark, sf_dir):
+    """The galleries of the page, with the graph built, saved and loaded."""
+    x = X.books(spark, sf_dir)
+    e = written(X.edges(x), "edges")
+    path = work_path(spark, "graph")
+    writers.write_graph(X.nodes(x, e), e, path)
+    b = enrich.imputed(x).withColumn("large_thumbnail", enrich.large_thumbnail())
+    left, right, _ = pipelines.handled(pipelines.started(spark, b, path), X.query_vector(spark, sf_dir))
+    return left.select(F.lit("vector").alias("kind"), "*").unionByName(right.select(F.lit("activated").alias("kind"), "*"))
