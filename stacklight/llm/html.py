@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stacklight.session import written
+from stacklight.session import dropped, written
 
 # Names of elements and of roles.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -267,7 +267,9 @@ def templates(pages: DataFrame) -> DataFrame:
         F.flatten(F.collect_list(F.when(F.col("text") & often, F.transform("members", lambda m: F.struct(m["token"].alias("token"), m["path"].alias("place"), F.col("pages").alias("pages")))))).alias("texts"),
         F.collect_list(F.when(valid, F.struct(F.col("low").alias("container"), F.col("members.token").alias("tokens")))).alias("nested"),
     )
-    return out.join(mass, "host", "left")
+    out = written(out.join(mass, "host", "left"), "templates")
+    dropped(v)
+    return out
 
 
 def _extracted(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -290,5 +292,5 @@ def main_texts(pages: DataFrame) -> DataFrame:
     marked = p.select("host", F.xxhash64(F.lit(5), "page_id", "url", "html").alias("mark"), "html")
     # tags of the root class count only if they hold the main text; AQE broadcasts the templates if they are small and splits a hot host if not
     root = F.filter("root", lambda x: x.rlike(_ARTICLE.pattern))
-    t = written(templates(marked).select(F.col("host").alias("t_host"), root.alias("root"), "texts", "nested", "masses"), "templates")
+    t = templates(marked).select(F.col("host").alias("t_host"), root.alias("root"), "texts", "nested", "masses")
     return p.join(t, p.host == t.t_host, "left").select("page_id", "url", "host", "root", "texts", "nested", "masses", "html").mapInArrow(_extracted, "page_id long, url string, text string, n_chars long")

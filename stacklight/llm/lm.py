@@ -529,19 +529,22 @@ def train(df: DataFrame, path: str | None = None, text: str = "text", order: int
     parts = max(1, -(-tokens // TOKENS_A_PART))
     m = {"order": order, "word_parts": tuple(f.part for f in files), "size": size, "texts": texts, "tokens": tokens, "parts": parts, "words_a_part": WORDS_A_PART}
     rows = d.mapInArrow(_count_grams(path, tuple(m.items()), order, parts), "part int, blob binary")
-    all_files, all_discounts = [], []
+    all_files, all_discounts, made = [], [], None
     for k in range(order, 1, -1):
         if parts > COARSE:
             # neighbouring parts go together first; their rows are summed again and cut further
             rows = rows.repartition(COARSE, F.floor(F.col("part") * COARSE / parts)).mapInArrow(_recut(parts), "part int, blob binary")
-        made = written(rows.groupBy("part").applyInPandas(_merge(path, k, size, parts, WORDS_A_PART), MERGED), f"lm-grams{k}")
+        upper, made = made, written(rows.groupBy("part").applyInPandas(_merge(path, k, size, parts, WORDS_A_PART), MERGED), f"lm-grams{k}")
         numbers = {r.kind: r.n for r in made.where("blob IS NULL").groupBy("kind").agg(F.sum("n").alias("n")).collect()}
         all_files.append((k, tuple(sorted(r.part for r in made.where("kind = 'types'").select("part").collect()))))
         all_discounts.insert(0, discounts([numbers.get(f"n{c}", 0) for c in (1, 2, 3, 4)]))
         m["types"] = numbers.get("types", 0)
+        if upper is not None:
+            dropped(upper)
         if k > 2:
             rows = made.where("kind = 'next'").select("part", "blob")
     stats = written(made.where(F.col("kind").isin(*_KINDS)).groupBy("part").applyInPandas(_merge_stats(path, WORDS_A_PART), "part int, n1 long, n2 long, n3 long, n4 long, more long"), "lm-stat-files").orderBy("part").collect()
+    dropped(made)
     m["stat_parts"] = tuple(r.part for r in stats)
     low = [sum(r[k] for r in stats) for k in ("n1", "n2", "n3", "n4", "more")]
     m["files"], m["discounts"], m["low_discounts"] = tuple(all_files), tuple(all_discounts), discounts(low[:4])
