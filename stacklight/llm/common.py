@@ -6,11 +6,14 @@ Hashes have 64 bits and depend on the bytes alone, so every worker gets the same
 from __future__ import annotations
 
 import ctypes
+import os
+import tempfile
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -219,11 +222,36 @@ def input_parts(df: DataFrame, bytes_a_part: int = 256 << 20) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-4 * size // bytes_a_part) if size < 1 << 60 else 0)
 
 
-def local_path(path: str) -> str:
-    """The path as open() takes it. Shared folders in a store without a mount are not supported by mapped files."""
+def filesystem(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path as Spark names it, and the path in it: plain and file: paths, and stores that Arrow has a client for (hdfs, s3, gs)."""
     for head in ("file://", "file:"):
         if path.startswith(head):
-            return "/" + path[len(head) :].lstrip("/")
-    if "://" in path:
-        raise ValueError(f"this operator writes plain files and needs a mounted shared folder, not {path}")
-    return path
+            return fs.LocalFileSystem(), "/" + path[len(head) :].lstrip("/")
+    if "://" not in path:
+        return fs.LocalFileSystem(), path
+    for alias in ("s3a://", "s3n://"):
+        if path.startswith(alias):
+            path = "s3://" + path[len(alias) :]
+    return fs.FileSystem.from_uri(path)
+
+
+def renamed(files: fs.FileSystem, temporary: str, name: str) -> None:
+    """Gives a whole file its name. Where the folder is mounted its bytes are on the disk before."""
+    if isinstance(files, fs.LocalFileSystem):
+        with open(temporary, "rb") as f:
+            os.fsync(f.fileno())
+    files.move(temporary, name)
+
+
+def mapped(files: fs.FileSystem, path: str) -> np.ndarray:
+    """An array file, memory-mapped: where it lies, or in a store by a copy that this worker keeps as long as it lives."""
+    if isinstance(files, fs.LocalFileSystem):
+        return np.load(path, mmap_mode="r")
+    with tempfile.TemporaryFile() as f:  # nameless; the map holds it
+        with files.open_input_stream(path) as g:
+            while part := g.read(16 << 20):
+                f.write(part)
+        f.seek(0)
+        version = np.lib.format.read_magic(f)
+        shape, _, dtype = np.lib.format.read_array_header_1_0(f) if version == (1, 0) else np.lib.format.read_array_header_2_0(f)
+        return np.memmap(f, dtype, "r", f.tell(), shape) if shape[0] else np.zeros(shape, dtype)

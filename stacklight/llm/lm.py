@@ -13,7 +13,7 @@ its words and its end. ORDER is the order by default; any from 2 is built the sa
 5. Workers map the arrays from the shared folder; the pages that a search touches are loaded, not the model. An array is cut into buckets of some
    64 keys by the upper bits of the hash; in a bucket 32 bits are compared, so an n-gram that training hasn't is taken for another with a probability of 2e-8.
 
-Arrays are committed like the rest: temporary names, renamed when whole, listed by rows that Spark commits. They are plain files, so the shared folder has to be mounted.
+Arrays are committed like the rest: temporary names, renamed when whole, listed by rows that Spark commits. In a store that isn't mounted, workers map copies of those they search.
 p(w | u) = max(c(u w) - D(c), 0) / c(u) + gamma(u) * p(w | u without its first word), p(w) = max(N(. w) - D(N), 0) / N(. .) + gamma * 1 / (V + 1).
 
 Null and empty texts are one token, the end. Null keys count as the key 'null' for the fold. Repeated rows count again. An empty training set leaves the uniform
@@ -21,7 +21,6 @@ distribution. Very long texts are counted and scored whole. Extra columns aren't
 
 from __future__ import annotations
 
-import os
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -33,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stacklight.llm.common import Texts, batches, local_path, mix
+from stacklight.llm.common import Texts, batches, filesystem, mapped, mix, renamed
 from stacklight.operators.ranges import cumulated
 from stacklight.session import dropped, work_path, written
 
@@ -143,23 +142,26 @@ def together(blobs: list[bytes]) -> tuple[list[np.ndarray], np.ndarray]:
 
 def saved(folder: str, name: str, arrays: dict[str, np.ndarray]) -> None:
     """Each array as a file of its own, renamed when whole."""
-    os.makedirs(folder, exist_ok=True)
+    files, root = filesystem(folder)
+    files.create_dir(root, recursive=True)
     for k, a in arrays.items():
-        temporary = f"{folder}/.{name}.{k}.{TaskContext.get().taskAttemptId()}.tmp"
-        with open(temporary, "wb") as f:
+        temporary = f"{root}/.{name}.{k}.{TaskContext.get().taskAttemptId()}.tmp"
+        with files.open_output_stream(temporary, compression=None) as f:
             np.save(f, a, allow_pickle=False)
-            f.flush()
-            os.fsync(f.fileno())
-        os.replace(temporary, f"{folder}/{name}.{k}.npy")
+        renamed(files, temporary, f"{root}/{name}.{k}.npy")
+
+
+def loaded(folder: str, name: str, key: str) -> np.ndarray:
+    files, root = filesystem(folder)
+    return mapped(files, f"{root}/{name}.{key}.npy")
 
 
 class Sorted:
     """Sorted arrays in files, one after another, searched as one."""
 
     def __init__(self, folder: str, names: list[str], values: tuple[str, ...]):
-        load = lambda n, k: np.load(f"{folder}/{n}.{k}.npy", mmap_mode="r")
-        self.keys = [load(n, "keys") for n in names]
-        self.values = {v: [load(n, v) for n in names] for v in values}
+        self.keys = [loaded(folder, n, "keys") for n in names]
+        self.values = {v: [loaded(folder, n, v) for n in names] for v in values}
         self.first = np.asarray([k[0] if len(k) else 0 for k in self.keys], np.uint64)
         self.base = np.concatenate([[0], np.cumsum([len(k) for k in self.keys])]).astype(np.int64)
 
@@ -228,7 +230,7 @@ class Hashed:
 
     def _arrays(self, part: int) -> dict[str, np.ndarray]:
         if part not in self.open:
-            self.open[part] = {k: np.load(f"{self.folder}/{self.name}-{part:06d}.{k}.npy", mmap_mode="r") for k in ("index", "low", "code", "over", "large")}
+            self.open[part] = {k: loaded(self.folder, f"{self.name}-{part:06d}", k) for k in ("index", "low", "code", "over", "large")}
         return self.open[part]
 
     def take(self, where: np.ndarray, h: np.ndarray, able: np.ndarray) -> list[np.ndarray]:
@@ -299,7 +301,7 @@ class Model:
             have = dict(m["files"])
             self.grams = {k: Hashed(folder, f"grams{k}", have.get(k, ()), m["parts"], 1) for k in range(2, self.order + 1)}
             self.contexts = {k: Hashed(folder, f"contexts{k}", have.get(k, ()), m["parts"], 4) for k in range(3, self.order + 1)}
-            self.stats = {i: {k: np.load(f"{folder}/stats-{i:06d}.{k}.npy", mmap_mode="r") for k in _KINDS} for i in m["stat_parts"]}
+            self.stats = {i: {k: loaded(folder, f"stats-{i:06d}", k) for k in _KINDS} for i in m["stat_parts"]}
 
     def ids(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(id or -1, training count) of each word."""
@@ -514,7 +516,7 @@ def train(df: DataFrame, path: str | None = None, text: str = "text", order: int
     if order < 2:
         raise ValueError("the order is 2 or more")
     spark = df.sparkSession
-    path = local_path(path or work_path(spark, "lm"))
+    path = path or work_path(spark, "lm")
     d = df.select(F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
     counted = d.mapInArrow(_count_words, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
     # as unsigned numbers in order: the sign bit flipped gives the same order among signed ones

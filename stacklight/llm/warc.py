@@ -15,7 +15,6 @@ import base64
 import contextlib
 import gzip
 import hashlib
-import os
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -25,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stacklight.llm.common import input_parts, local_path
+from stacklight.llm.common import filesystem, input_parts, renamed
 from stacklight.session import work_path
 
 ROLL_BYTES = 64 << 20
@@ -62,7 +61,9 @@ class _Roller:
     """Files of one task: temporary until full, then renamed."""
 
     def __init__(self, folder: str, shard: int, attempt: int, most: int):
-        self.folder, self.shard, self.attempt, self.most = folder, shard, attempt, most
+        self.files, self.folder = filesystem(folder)
+        self.files.create_dir(self.folder, recursive=True)
+        self.shard, self.attempt, self.most = shard, attempt, most
         self.seq, self.file, self.done = 0, None, []
 
     def add(self, page_id: int | None, data: bytes) -> None:
@@ -72,7 +73,7 @@ class _Roller:
         if not self.file:
             self.name = f"part-{self.shard:06d}-{self.seq:05d}.warc.gz"
             self.temporary = f"{self.folder}/.{self.name}.{self.attempt}.tmp"
-            self.file, self.size, self.records, self.first, self.sha = open(self.temporary, "wb"), 0, 0, page_id, hashlib.sha256()  # noqa: SIM115
+            self.file, self.size, self.records, self.first, self.sha = self.files.open_output_stream(self.temporary, compression=None), 0, 0, page_id, hashlib.sha256()
         self.file.write(member)
         self.sha.update(member)
         self.size += len(member)
@@ -81,10 +82,8 @@ class _Roller:
 
     def close(self) -> None:
         if self.file:
-            self.file.flush()
-            os.fsync(self.file.fileno())
             self.file.close()
-            os.replace(self.temporary, f"{self.folder}/{self.name}")  # every attempt writes the same bytes
+            renamed(self.files, self.temporary, f"{self.folder}/{self.name}")  # every attempt writes the same bytes
             self.done.append((self.name, self.records, self.size, self.first, self.last, self.sha.hexdigest()))
             self.file, self.seq = None, self.seq + 1
 
@@ -92,13 +91,12 @@ class _Roller:
         if self.file:
             self.file.close()
             with contextlib.suppress(OSError):
-                os.remove(self.temporary)
+                self.files.delete_file(self.temporary)
 
 
 def _writer(folder: str, most: int):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
-        os.makedirs(folder, exist_ok=True)
         out, at, marks = _Roller(folder, task.partitionId(), task.taskAttemptId(), most), object(), {}
         try:
             for b in it:
@@ -130,7 +128,7 @@ def write_warc(pages: DataFrame, path: str | None = None, roll_bytes: int = ROLL
     marks = marks.select("page_id", F.lit(0).alias("kind"), "digest", "refers_to", F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("html"))
     rows = p.select("page_id", F.lit(1).alias("kind"), F.lit(None).cast("string").alias("digest"), F.lit(None).cast("long").alias("refers_to"), "url", "html").unionByName(marks)
     rows = rows.repartitionByRange(input_parts(pages), "page_id").sortWithinPartitions("page_id", "kind", "url", "digest", F.xxhash64("html"))
-    rows.mapInArrow(_writer(local_path(f"{path}/data"), roll_bytes), MANIFEST).write.parquet(f"{path}/manifest")
+    rows.mapInArrow(_writer(f"{path}/data", roll_bytes), MANIFEST).write.parquet(f"{path}/manifest")
     return path
 
 
@@ -145,7 +143,8 @@ def records(data: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
 
 def members(path: str, chunk: int = 1 << 20) -> Iterator[bytes]:
     """The gzip members of a file, one after another; memory holds one."""
-    with open(path, "rb") as f:
+    files, name = filesystem(path)
+    with files.open_input_stream(name, compression=None) as f:
         rest = b""
         while rest or (rest := f.read(chunk)):
             one, parts = zlib.decompressobj(31), []
@@ -191,4 +190,4 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     payload is null for revisits. Digests of blocks and payloads are checked on the way."""
     files = spark.read.schema(MANIFEST).parquet(f"{path}/manifest").select("file")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return files.repartition(parts, "file").mapInArrow(_reader(local_path(f"{path}/data")), "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
+    return files.repartition(parts, "file").mapInArrow(_reader(f"{path}/data"), "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")

@@ -426,6 +426,21 @@ def test_language_model(spark, docs, monkeypatch, order):
     assert nothing.n_known == 0 and math.isfinite(nothing.score)
 
 
+def test_arrays_of_a_store(tmp_path, monkeypatch):
+    """Files of a store that isn't mounted: written under temporary names, read by mapped copies."""
+    from pyarrow import fs
+
+    (tmp_path / "bucket").mkdir()
+    monkeypatch.setattr(lm, "filesystem", lambda path: (fs.SubTreeFileSystem(str(tmp_path), fs.LocalFileSystem()), path.removeprefix("store://")))
+    monkeypatch.setattr(lm.TaskContext, "get", classmethod(lambda cls: types.SimpleNamespace(taskAttemptId=lambda: 3)))
+    arrays = {"a": np.arange(10, dtype=np.uint32), "b": np.zeros((0, 4), np.int64), "c": np.arange(6).reshape(3, 2)}
+    lm.saved("store://bucket/x", "part", arrays)
+    assert sorted(os.listdir(tmp_path / "bucket" / "x")) == ["part.a.npy", "part.b.npy", "part.c.npy"]
+    for k, a in arrays.items():
+        got = lm.loaded("store://bucket/x", "part", k)
+        assert got.dtype == a.dtype and got.tolist() == a.tolist()
+
+
 def test_language_model_arrays():
     """Large values, many ids and blobs, and words with ids beyond 32 bits."""
     r = np.random.Generator(np.random.PCG64(3))
@@ -677,6 +692,9 @@ def test_quality_model(spark, sf_dir, docs, empty):
     assert all(x.held_out == (zlib.crc32(str(i).encode()) % 3 == 1) and 0 <= x.score <= 1 and x.predicted == int(x.score >= 0.5) for i, x in got.items())
     held = [(got[x.doc_id].predicted, x.quality) for x in y.collect() if got[x.doc_id].held_out]
     assert sum(a == b for a, b in held) / len(held) > 0.95
+    small, few = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    runs = [{x.doc_id: x.score for x in quality_model.scored(small.repartition(n), few.union(few)).collect()} for n in (1, 5)]
+    assert runs[0] == runs[1]  # whatever the partitions, and with repeated labels
     none = spark.createDataFrame([(0, None)], "doc_id long, quality int")
     assert {x.score for x in quality_model.scored(docs, none).collect()} == {0.5}
     assert quality_model.scored(empty, none).count() == 0
