@@ -43,6 +43,11 @@ def written(df: DataFrame, name: str, partition_by: list[str] | None = None) ->
     return out
 
 
+def is_written(df: DataFrame) -> bool:
+    """Is df a table that written() made, so that reading it again costs a scan?"""
+    return hasattr(df, "_stacklight_path")
+
+
 def measured(df: DataFrame, name: str, *metrics: Column) -> tuple[DataFrame, tuple]:
     """written(), and aggregates of the rows, gathered while they are written. With a lost executor a metric may count rows twice, so nothing but an end of a loop hangs on it."""
     seen = Observation()
