@@ -23,7 +23,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stacklight.llm.rules import n_words
-from stacklight.session import dropped, written
+from stacklight.operators.ranges import cumulated
+from stacklight.session import written
 
 BLOCK_WORDS = 64
 SHARD_BLOCKS = 4096
@@ -38,16 +39,8 @@ GRID, FEW = 64, 1000
 
 
 def numbered(df: DataFrame, *order: Column, name: str = "ord") -> DataFrame:
-    """df, written, with the number of each row in that order, from 1: ranges of the order are numbered apart, after the counts of the ranges before."""
-    x = written(df.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()), "ranges")
-    counts = {r["__range"]: r.n for r in x.groupBy("__range").agg(F.count("*").alias("n")).collect()}  # as many as partitions
-    starts, total = [], 0
-    for k in sorted(counts):
-        starts.append((k, total))
-        total += counts[k]
-    before = x.sparkSession.createDataFrame(starts, "__range int, __before long")
-    rank = F.row_number().over(Window.partitionBy("__range").orderBy(*order))
-    return x.withColumn(name, rank).join(F.broadcast(before), "__range").withColumn(name, F.col(name) + F.col("__before")).drop("__range", "__before")
+    """df, written, with the number of each row in that order, from 1: a running sum over ranges of the order."""
+    return cumulated(df, [*order], F.lit(1), name).withColumn(name, F.col(name) + 1)
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
