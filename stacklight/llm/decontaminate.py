@@ -11,7 +11,7 @@
 
 Words are compared case-folded and without punctuation and symbols at their ends; a word of nothing else is compared whole. All words count in positions.
 
-Null and empty texts and items match nothing; an item of fewer words than a seed is its own seed. Repeated rows are reported each. Equal scores keep the first region. Very long
+Null and empty texts and items match nothing; an item of fewer words than a seed is its own seed. Repeated rows are reported each. Of equal scores the first end is told. Very long
 texts are read whole. Columns other than key and text aren't read."""
 
 from __future__ import annotations
@@ -125,7 +125,7 @@ class Index:
 
 
 def local_score(item: np.ndarray, regions: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Smith-Waterman of one item against rows of word hashes (padded): best scores and the columns where they end.
+    """Smith-Waterman of one item against rows of word hashes (padded): best scores and the first columns where they end.
 
     Rows of the matrix go one by one; along a row, gaps are a running maximum because their cost is linear."""
     n, width = regions.shape
@@ -140,9 +140,11 @@ def local_score(item: np.ndarray, regions: np.ndarray, lengths: np.ndarray) -> t
         np.maximum(row, 0, out=row)
         row = np.maximum.accumulate(row + ramp, axis=1) - ramp
         top = row.max(axis=1)
-        better = top > best
-        if better.any():
-            where[better] = row[better].argmax(axis=1)
+        able = np.flatnonzero((top >= best) & (top > 0))
+        if len(able):
+            at = row[able].argmax(axis=1)
+            sooner = (top[able] > best[able]) | (at < where[able])
+            where[able[sooner]] = at[sooner]
             best = np.maximum(best, top)
         above = row
     return best, where

@@ -733,7 +733,7 @@ def test_pipeline(spark, sf_dir):
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_sql_twin(spark, sf_dir, name):
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "benchmark"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
     want = con.sql(queries.ORACLE_SQL[name])
     got = queries.QUERIES[name](spark, sf_dir)
