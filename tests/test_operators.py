@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 import random
+import types
 
+import pytest
 from pyspark.sql import functions as F
 
-from stacklight.functions import text as T
+from stacklight import session
 from stacklight.functions import providers
+from stacklight.functions import text as T
 from stacklight.functions.providers import extract
 from stacklight.operators import dedup, enrich, graph, paths, present, spreading, triples, vector
 from stacklight.operators.components import connected_components
+from stacklight.operators.ranges import cumulated
 from stacklight.plans import fixtures as X
 from stacklight.plans import pipelines
 from stacklight.plans.recommend import page, recommend
@@ -271,6 +275,30 @@ def test_page_degrades(spark, sf_dir):
     assert "can't be read" in pipelines.started(spark, b, f"{path}-2").reason
 
 
+def test_shared_folder():
+    """A cluster has to name the folder; one machine may do without."""
+    named = types.SimpleNamespace(conf=types.SimpleNamespace(get=lambda k, d: "hdfs://x/y/"), sparkContext=types.SimpleNamespace(master="spark://m"))
+    assert session.shared_dir(named) == "hdfs://x/y"
+    bare = types.SimpleNamespace(conf=types.SimpleNamespace(get=lambda k, d: None), sparkContext=types.SimpleNamespace(master="spark://m"))
+    with pytest.raises(RuntimeError):
+        session.shared_dir(bare)
+    bare.sparkContext.master = "local[2]"
+    assert session.shared_dir(bare).startswith("file://")
+
+
+def test_running_sums(spark):
+    r = random.Random(3)
+    rows = [(r.choice("abc"), r.randrange(50) if r.random() > 0.1 else None, i) for i in range(400)]
+    d = spark.createDataFrame(rows, "k string, v int, i int")
+    got = {x.i: x.before for x in cumulated(d, [F.col("k"), F.desc("i")], F.coalesce("v", F.lit(0)), "before").collect()}
+    total, want = 0, {}
+    for _, v, i in sorted(rows, key=lambda x: (x[0], -x[2])):
+        want[i] = total
+        total += v or 0
+    assert got == want
+    assert cumulated(d.limit(0), [F.col("k")], F.lit(1), "before").count() == 0
+
+
 def test_plans(spark, sf_dir):
     """Pushed filters, pruned columns, top-k without a full sort."""
     q = vector.knn(X.books(spark, sf_dir), X.query_vector(spark, sf_dir), 5)
