@@ -43,6 +43,11 @@ def numbered(df: DataFrame, *order: Column, name: str = "ord") -> DataFrame:
     return cumulated(df, [*order], F.lit(1), name).withColumn(name, F.col(name) + 1)
 
 
+def _beside(df: DataFrame, values: list[float], name: str) -> DataFrame:
+    """df with each of a few numbers, as data: numbers within expressions would be compiled anew in every step of a search."""
+    return df.crossJoin(F.broadcast(df.sparkSession.createDataFrame([(v,) for v in values], f"{name} double")))
+
+
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
     """(source, ord, n_docs, source_size, weight, target) for (source, n_docs, source_size).
 
@@ -53,9 +58,9 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
     s = written(s.withColumn("weight", w).withColumn("cap", most * F.col("source_size")), "sources")
     total = s.agg(F.sum("source_size").alias("n"), F.sum("weight").alias("w")).first()
     level = share * (total.n or 0) / (total.w or 1)
+    full = F.col("cap") <= F.col("level") * F.col("weight")
     while True:
-        full = F.col("cap") <= F.lit(level) * F.col("weight")
-        got = s.agg(F.sum(F.when(full, F.col("cap"))).alias("full"), F.sum(F.when(~full, F.col("weight"))).alias("open")).first()
+        got = _beside(s, [level], "level").agg(F.sum(F.when(full, F.col("cap"))).alias("full"), F.sum(F.when(~full, F.col("weight"))).alias("open")).first()
         if not got.open:  # every source is at its cap
             level = float("inf")
             break
@@ -85,8 +90,9 @@ def apportioned(targets: DataFrame, block_words: int = BLOCK_WORDS, most: int =
         grid = [q for q in dict.fromkeys(grid) if low < q < high]
         if not grid:  # as many seats with one quotient
             break
-        sums = t.agg(*[F.sum(_seats_above(F.lit(q))).alias(f"q{k}") for k, q in enumerate(grid)]).first()
-        for q, n in zip(grid, sums, strict=True):
+        sums = {x.q: x.n for x in _beside(t, grid, "q").groupBy("q").agg(F.sum(_seats_above(F.col("q"))).alias("n")).collect()}
+        for q in grid:
+            n = sums[q]
             if n >= want:
                 low, below = q, n
                 break
@@ -121,34 +127,45 @@ def _positions(x: DataFrame) -> DataFrame:
     return x.withColumn("inside", within).join(buckets, ["ord", "bucket"]).withColumn("a", F.col("start") + F.col("inside")).drop("bucket", "words", "inside", "start")
 
 
-def words_taken(a: Column, block_words: int = BLOCK_WORDS, seed: int = SEED) -> Column:
-    """Words taken of the first a words of a source's stream, from its blocks, shards and seats.
-
-    Shard j of the source has blocks [p, q); its quota takes quota div (q - p) passes, and (quota mod (q - p)) blocks from a seeded one on, round its end."""
-    n, w = F.col("blocks"), F.lit(block_words)
-    div = lambda x, y: F.call_function("div", x, F.greatest(y, F.lit(1)))
-    times = lambda x, y: x.cast("decimal(18,0)") * y.cast("decimal(18,0)")  # noqa: E731, products may have more than 63 bits
-    at = F.least(div(a, w), F.greatest(n - 1, F.lit(0)))  # the block that holds a
-    edge = lambda j: div(times(j, n), F.col("shards"))
-    guess = div(times(at + 1, F.col("shards")) - 1, n)
-    p, q = edge(guess), edge(guess + 1)
-    upto = lambda x: div(times(F.col("seats"), x), n)
-    length, quota = q - p, upto(q) - upto(p)
-    passes, arc = div(quota, length), quota % F.greatest(length, F.lit(1))
-    first = _hex_seed(seed, guess) % F.greatest(length, F.lit(1))
-    # words of the shard before a, and the arc's words among them, before and after it wraps
-    here, size = a - p * w, F.least(q * w, F.col("source_size")) - p * w
-    over = lambda lo, hi: F.greatest(F.lit(0), F.least(here, hi, size) - lo)
-    wrapped = (first + arc - length) * w
-    part = F.when(wrapped > 0, over(F.lit(0), wrapped)).otherwise(0) + over(first * w, (first + arc) * w)
-    # whole shards before: each gives its quota of blocks, but the last block of the source may be short
-    return F.when((n > 0) & (a > 0), upto(p) * w + passes * here + part).otherwise(0).cast("long")
+def words_taken(x: DataFrame, place: str, name: str, block_words: int = BLOCK_WORDS, seed: int = SEED) -> DataFrame:
+    """x with a column of the words taken of the first so many words of a source's stream, from its blocks, shards and seats.
+
+    Shard j of the source has blocks [p, q); its quota takes quota div (q - p) passes, and (quota mod (q - p)) blocks from a seeded one on, round its end.
+    Steps are columns of their own, so that no expression repeats another."""
+    w = F.lit(block_words)
+    div = lambda a, b: F.call_function("div", a, F.greatest(b, F.lit(1)))
+    times = lambda a, b: a.cast("decimal(18,0)") * b.cast("decimal(18,0)")  # noqa: E731, products may have more than 63 bits
+    c = {k: f"mix {k}" for k in ("block", "shard", "p", "q", "before", "quota", "here", "size", "arc", "first")}
+    col = lambda k: F.col(f"`{c[k]}`")
+    length = col("q") - col("p")
+    y = x.withColumn(c["block"], F.least(div(F.col(place), w), F.greatest(F.col("blocks") - 1, F.lit(0))))
+    y = y.withColumn(c["shard"], div(times(col("block") + 1, F.col("shards")) - 1, F.col("blocks")))
+    y = y.withColumns({c["p"]: div(times(col("shard"), F.col("blocks")), F.col("shards")), c["q"]: div(times(col("shard") + 1, F.col("blocks")), F.col("shards"))})
+    # whole shards before: each gives its quota of blocks
+    y = y.withColumns({c["before"]: div(times(F.col("seats"), col("p")), F.col("blocks")), c["quota"]: div(times(F.col("seats"), col("q")), F.col("blocks"))})
+    y = y.withColumn(c["quota"], col("quota") - col("before"))
+    # words of the shard before the place, and the arc's words among them, before and after it wraps; the last block of the source may be short
+    y = y.withColumns({c["here"]: F.col(place) - col("p") * w, c["size"]: F.least(col("q") * w, F.col("source_size")) - col("p") * w, c["arc"]: col("quota") % F.greatest(length, F.lit(1)), c["first"]: _hex_seed(seed, col("shard")) % F.greatest(length, F.lit(1))})
+    over = lambda lo, hi: F.greatest(F.lit(0), F.least(col("here"), hi, col("size")) - lo)
+    wrapped = (col("first") + col("arc") - length) * w
+    part = F.when(wrapped > 0, over(F.lit(0), wrapped)).otherwise(0) + over(col("first") * w, (col("first") + col("arc")) * w)
+    taken = col("before") * w + div(col("quota"), length) * col("here") + part
+    y = y.withColumn(name, F.when((F.col("blocks") > 0) & (F.col(place) > 0), taken).otherwise(0).cast("long"))
+    return y.drop(*c.values())
 
 
 def _hex_seed(seed: int, shard: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(f"{seed}|shard"), F.col("ord").cast("string"), shard.cast("long").cast("string")).cast("binary")), 1, 12), 16, 10).cast("long")
 
 
+def _taken(x: DataFrame, block_words: int, seed: int) -> DataFrame:
+    """A row for each copy of a document (repeats follow each other in the stream), with the words taken of it."""
+    x = x.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
+    x = x.withColumn("a", F.col("a") + F.col("copy") * F.col("size")).withColumn("z", F.col("a") + F.col("size"))
+    x = words_taken(words_taken(x, "a", "before_a", block_words, seed), "z", "before_z", block_words, seed)
+    return x.withColumn("taken", F.col("before_z") - F.col("before_a"))
+
+
 def _mixed(df: DataFrame, key: str, text: str, source: str, weights: tuple[int, ...], share: float, most: int, block_words: int, seed: int, row: Column) -> DataFrame:
     """(doc_id, size, row, copies, source_size, target, a) and what words_taken() reads, of distinct documents."""
     units = _units(df, key, text, source, seed, row)
@@ -164,11 +181,7 @@ def _mixed(df: DataFrame, key: str, text: str, source: str, weights: tuple[int,
 def mixed(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST, block_words: int = BLOCK_WORDS, seed: int = SEED) -> DataFrame:
     """(doc_id, size, source_size, target, taken) for each row."""
     x = _mixed(df, key, text, source, weights, share, most, block_words, seed, F.lit(0))
-    # repeats of a document follow each other in the stream; each is a row again
-    x = x.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
-    a = F.col("a") + F.col("copy") * F.col("size")
-    taken = words_taken(a + F.col("size"), block_words, seed) - words_taken(a, block_words, seed)
-    return x.select("doc_id", "size", "source_size", "target", taken.alias("taken"))
+    return _taken(x, block_words, seed).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def mixed_rows(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST, block_words: int = BLOCK_WORDS, seed: int = SEED) -> DataFrame:
@@ -177,10 +190,8 @@ def mixed_rows(df: DataFrame, key: str = "doc_id", text: str = "text", source: s
     Rows that are equal in all columns are one row and a number of copies, so texts are moved once, to the decision on them."""
     row = F.xxhash64(*[f"`{c}`" for c in df.columns])
     x = _mixed(df, key, text, source, weights, share, most, block_words, seed, row)
-    copy = F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)
-    x = x.withColumn("copy", F.explode(copy)).withColumn("a", F.col("a") + F.col("copy") * F.col("size"))
-    taken = words_taken(F.col("a") + F.col("size"), block_words, seed) - words_taken(F.col("a"), block_words, seed)
-    times = F.when(F.col("size") > 0, F.floor(taken / F.greatest("size", F.lit(1)) + F.lit(0.5))).otherwise(0)
+    times = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.greatest("size", F.lit(1)) + F.lit(0.5))).otherwise(0)
+    x = _taken(x, block_words, seed)
     found = x.select(F.col("doc_id").alias("__id"), F.col("row").alias("__row"), "copies", times.alias("times")).groupBy("__id", "__row").agg(F.sum("times").cast("int").alias("__times"), F.first("copies").alias("__copies"))
     found = written(found.where("__times > 0"), "mix-decided")
     wrapped = df.select(F.struct(*[f"`{c}`" for c in df.columns]).alias("row"), F.col(f"`{key}`").alias("key"), row.alias("hash"))

@@ -639,7 +639,7 @@ def test_words_taken(spark):
     cases += [(o, b, s, e, h, s) for o, b, s, e, h, _ in cases]
     d = spark.createDataFrame(cases, "ord long, blocks long, source_size long, seats long, shards long, a long")
     first = lambda o, j: int(hashlib.md5(f"20|shard|{o}|{j}".encode()).hexdigest()[:12], 16)
-    for x in d.withColumn("t", mixing.words_taken(F.col("a"))).collect():
+    for x in mixing.words_taken(d, "a", "t").collect():
         assert x.t == brute_taken(x.a, x.blocks, x.source_size, x.seats, x.shards, [first(x.ord, j) for j in range(x.shards)])
 
 
