@@ -132,7 +132,7 @@ def measured(df: DataFrame, rules: tuple[Rule, ...], text: str = "text", repeats
     """For each rule: what it rejects of the sample, and its seconds a text.
 
     A rule is timed in a job of one task over the sample many times, after a warm-up run, as the least of several runs less that of a job that
-    only reads the texts. Costs are rounded to powers of two of a microsecond, so that noise changes no order."""
+    only reads the texts. Costs are rounded to powers of two of a microsecond, so that noise seldom changes the order."""
     spark, texts = df.sparkSession, bounded_sample(df, text)
     if not texts:
         return [[] for _ in rules], [1e-6 for _ in rules]
