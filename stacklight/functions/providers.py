@@ -95,6 +95,8 @@ class ExtractorConfig:
     temperature: float = 0.0
     attempts: int = DEFAULTS.extraction_attempts
     save_every: int = 50
+    #: What a step of the cache takes at least, once steps have grown.
+    step_seconds: float = 20.0
     prompt_chars: int = DEFAULTS.prompt_chars
 
 

@@ -20,6 +20,7 @@ from stacklight.plans import pipelines
 from stacklight.plans.recommend import page, recommend
 from stacklight.session import work_path
 from stacklight.sources import readers, writers
+from stacklight.streaming import incremental
 from stacklight.streaming.incremental import extend_cache, stream_cache
 
 
@@ -167,6 +168,18 @@ def test_extraction_cache_and_stream(spark, sf_dir):
     assert readers.read_extractions(spark, path).count() == 2
 
 
+def test_steps_of_the_cache(spark, monkeypatch):
+    """A fast model's cache grows in a few steps whatever its size; a slow model's by save_every books a core."""
+    steps, cores = [], spark.sparkContext.defaultParallelism
+    monkeypatch.setattr(incremental, "append_extractions", lambda df, path: (steps.append(path), writers.append_extractions(df, path)))
+    b = spark.range(2000).select(F.col("id").alias("isbn13"), F.lit("t").alias("title"), F.lit("text").alias("description"))
+    for seconds, rows, want in ((1e9, 2000, (2000 // cores).bit_length()), (0.0, 24, -(-24 // cores))):
+        path = work_path(spark, "cache")
+        config = providers.ExtractorConfig(save_every=1, step_seconds=seconds)
+        assert sorted(x.isbn13 for x in extend_cache(spark, b.limit(rows), path, lambda t, d: {"themes": ["war"]}, config).collect()) == list(range(rows))
+        assert steps.count(path) == want
+
+
 def test_csv_and_graphml(spark):
     d = spark.createDataFrame([(1, 'a "b", c', None, "x\ny", None)], "isbn13 long, title string, subtitle string, description string, num_pages double")
     path = work_path(spark, "csv")
