@@ -6,6 +6,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -61,17 +62,28 @@ def zero_shot_model(load: Callable[[], Callable[[list[str], list[str]], list[lis
     return provider
 
 
+#: Sentences that a model of emotions gets in one call.
+SENTENCES = 4096
+
+
 def emotion_model(load: Callable[[], Callable[[list[str]], list[dict[str, float]]]]) -> Callable[[Column], Column]:
-    """A column of the greatest score of each emotion over the sentences of a text, by a real model. The sentences of a batch go to it in one call."""
+    """A column of the greatest score of each emotion over the sentences of a text, by a real model.
+
+    It is called with the sentences of many texts, SENTENCES at most, a long text's in several calls; of each text only the greatest scores so far are kept, so memory doesn't grow with texts."""
 
     @F.pandas_udf(", ".join(f"{e} double" for e in EMOTIONS))
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         score = load()
         for b in batches:
-            parts = [None if x is None else x.split(".") for x in b]
-            got = iter(score([y for x in parts if x is not None for y in x]))
-            rows = [None if x is None else [next(got) for _ in x] for x in parts]
-            yield pd.DataFrame({e: [None if x is None else max(float(y[e]) for y in x) for x in rows] for e in EMOTIONS})
+            best: dict[str, list[float | None]] = {e: [None] * len(b) for e in EMOTIONS}
+            parts = ((i, y) for i, x in enumerate(b) if x is not None for y in x.split("."))
+            while some := [*islice(parts, SENTENCES)]:
+                for (i, _), got in zip(some, score([y for _, y in some]), strict=True):
+                    for e, top in best.items():
+                        v = float(got[e])
+                        if top[i] is None or v > top[i]:
+                            top[i] = v
+            yield pd.DataFrame(best)
 
     return run
 

@@ -271,6 +271,22 @@ def test_models(spark):
     assert b.select(embed(F.col("description")).alias("e")).first().e == [9.0, 1.0]
 
 
+def test_emotions_in_bounded_calls(spark):
+    """A model gets a bounded number of sentences in a call, and a text's scores are the greatest over all its calls."""
+    n = 3 * providers.SENTENCES
+    texts = [(0, "." * n + "j"), (1, None), (2, ""), (3, "j" + "." * n), (4, "a.j")]
+
+    def load():
+        def score(sentences):
+            assert len(sentences) <= n / 3
+            return [{e: float("j" in t and e == "joy") for e in enrich.EMOTIONS} for t in sentences]
+
+        return score
+
+    b = enrich.with_emotions(spark.createDataFrame(texts, "isbn13 long, description string").coalesce(1), model=providers.emotion_model(load))
+    assert {x.isbn13: (x.joy, x.anger) for x in b.collect()} == {0: (1.0, 0.0), 1: (None, None), 2: (0.0, 0.0), 3: (1.0, 0.0), 4: (1.0, 0.0)}
+
+
 def test_page_degrades(spark, sf_dir):
     b = enrich.imputed(X.books(spark, sf_dir)).withColumn("large_thumbnail", enrich.large_thumbnail())
     q = X.query_vector(spark, sf_dir)
