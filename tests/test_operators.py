@@ -128,6 +128,23 @@ def test_pairs_over_blocks(spark):
     assert few == many and few
 
 
+def test_links_of_pairs(spark, monkeypatch):
+    """Few links, of one copy of a vector, with the components of all pairs; a row is dealt to no more than DEALT pairs of blocks; zero vectors are no copies."""
+    r = random.Random(4)
+    rows = [[r.gauss(0, 1) for _ in range(6)] for _ in range(90)] + [[0.0] * 6] * 3
+    rows += rows[:1] * 100 + [[x * 2 for x in rows[1]]] * 20
+    d = spark.createDataFrame([(f"c{i}", i, v, i % 7) for i, v in enumerate(rows)], "concept string, ord int, embedding array<double>, count int")
+    pairs = vector.similar_pairs(d, 0.8)
+    want = {x.node: x.component for x in connected_components(pairs, "a", "b").collect()}
+    monkeypatch.setattr(vector, "TILE", 8)
+    links = vector.similar_links(d, 0.8, block=5)
+    assert {x.node: x.component for x in connected_components(links, "a", "b").collect()} == want and not {"c90", "c91", "c92"} & set(want)
+    assert links.count() < 1000 < pairs.count()
+    dealt = []
+    monkeypatch.setattr(vector, "_blocked", lambda x, *a, real=vector._blocked: (dealt.append(x.agg(F.max("blocks")).first()[0]), real(x, *a))[1])
+    assert {(x.a, x.b) for x in vector.similar_pairs(d, 0.8, block=1).collect()} == {(x.a, x.b) for x in pairs.collect()} and dealt == [vector.DEALT]
+
+
 def test_pairs_by_bands(spark):
     """Sign bands find the pairs that comparing all finds."""
     r = random.Random(2)
