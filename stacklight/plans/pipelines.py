@@ -36,15 +36,16 @@ def emotional(spark: SparkSession, categorised_path: str, path: str, provider=st
 
 
 def concepts_of(t: DataFrame, embed=stub_embedding) -> DataFrame:
-    """(concept, ord, embedding, count) of the objects of triples. ord: their number in order of name."""
-    c = cumulated(t.groupBy(F.col("object_concept").alias("concept")).agg(F.count("*").alias("count")), [F.col("concept")], F.lit(1), "ord")
+    """(concept, ord, embedding, count) of the objects of triples. ord: their number in order of name. However few bytes the names are, all cores share in embedding them."""
+    c = cumulated(t.groupBy(F.col("object_concept").alias("concept")).agg(F.count("*").alias("count")), [F.col("concept")], F.lit(1), "ord").repartition(t.sparkSession.sparkContext.defaultParallelism, "concept")
     return c.select("concept", "ord", embed(F.col("concept")).alias("embedding"), "count")
 
 
 def build_graph(books: DataFrame, extractions: DataFrame, path: str, embed=stub_embedding, threshold: float = DEFAULTS.dedup_threshold) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges), written to path: metadata triples, triples of the valid extractions with their near-duplicate concepts merged, then the graph."""
     found = written(triples.extraction_triples(triples.validated(extractions)), "extraction-triples")
-    mapping = dedup.dedup_mapping(concepts_of(found, embed), threshold)
+    concepts = written(concepts_of(found, embed), "concepts")  # read several times, and a model embeds each name once
+    mapping = dedup.dedup_mapping(concepts, threshold)
     edges = graph.build_edges(triples.metadata_triples(books).unionByName(triples.apply_mapping(found, mapping)))
     edges = written(edges, "edges")
     writers.write_graph(graph.build_nodes(books, edges), edges, path)

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import random
 import types
+import uuid
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -288,6 +290,40 @@ def test_models(spark):
     assert b.select(embed(F.col("description")).alias("e")).first().e == [9.0, 1.0]
 
 
+def test_graph_of_many_like_names(spark, monkeypatch, tmp_path):
+    """Building a graph embeds each concept once, on several tasks, and compares one name of each vector; its edges are those of brute force over all names."""
+    names = [f"{'north' if i % 3 else 'sea'}-{i}" for i in range(300)]
+    b = spark.createDataFrame([(i, i, "t", None, "Fiction", 1.0) for i in range(300)], "isbn13 long, src_ord long, title string, authors string, simple_categories string, average_rating double")
+    x = spark.createDataFrame([(i, [], [n], [], [], []) for i, n in enumerate(names + names[:5])], readers.EXTRACTION)
+    calls, count = str(tmp_path), lambda n: [float(n.count(c)) for c in providers.CHARACTERS]
+
+    def load():
+        task = f"{calls}/{uuid.uuid4().hex}"
+
+        def embed(texts):
+            with open(task, "a") as f:
+                f.writelines(f"{t}\n" for t in texts)
+            return [[float(t.count(c)) for c in "abcdefghijklmnopqrstuvwxyz0123456789"] for t in texts]
+
+        return embed
+
+    dealt = []
+    monkeypatch.setattr(vector, "_blocked", lambda x, *a, real=vector._blocked: (dealt.append(x.count()), real(x, *a))[1])
+    _, edges = pipelines.build_graph(b, x, work_path(spark, "like-names"), providers.embedding_model(load))
+    v = np.array([count(n) for n in names])
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    near, root = v @ v.T >= 0.92 - 1e-12, np.arange(300)
+    while ((low := np.where(near, root, 300).min(axis=1)) < root).any():
+        root = low
+    first = lambda r: min((n for n, y in zip(names, root, strict=True) if y == r), key=lambda n: (-(names + names[:5]).count(n), len(n), n))
+    best = {r: first(r) for r in {*root.tolist()}}
+    want = {(f"book:{i}", f"location:{best[root[i % 300]]}") for i in range(305)}
+    assert {(e.src, e.dst) for e in edges.where("relation = 'SET_IN'").collect()} == want and 1 < len(best) < 300
+    parts = [p.read_text().splitlines() for p in tmp_path.iterdir()]
+    assert sorted(sum(parts, [])) == sorted(names) and len(parts) > 1
+    assert dealt == [len({*map(tuple, map(count, names))})]
+
+
 def test_emotions_in_bounded_calls(spark):
     """A model gets a bounded number of sentences in a call, and a text's scores are the greatest over all its calls."""
     n = 3 * providers.SENTENCES
